@@ -58,7 +58,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if placed is None:
         placed = entries.withColumn("prefix", F.lit(0).cast("long")).withColumn("depth", F.lit(0))
     chain = F.row_number().over(Window.partitionBy("h").orderBy("text_sha256"))
-    first = F.shiftleft("prefix", 64 - F.col("depth"))
+    first = F.expr("shiftleft(prefix, 64 - depth)")
     placed = placed.select("depth", "prefix", "h", chain.alias("chain"), "text_sha256", "keep_id", "group_size", first.alias("first"))
     index = write_table(placed.repartitionByRange("first", "h").sortWithinPartitions("first", "h", "chain").drop("first"), "hash-index")
     drop_table(entries)
