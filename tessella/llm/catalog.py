@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, exact_dedup, language_id, quality_rules, sharding, simhash, token_store
+from tessella.llm import decontaminate, exact_dedup, language_id, line_dedup, quality_rules, sharding, simhash, token_store
 
 
 def queries():
     return {
         "op1_language_id": language_id.op1_language_id,
         "op2_token_store": token_store.op2_token_store,
+        "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_simhash": simhash.op4_simhash,
         "op5_quality": quality_rules.op5_quality,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
