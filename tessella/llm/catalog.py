@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, exact_dedup, language_id, line_dedup, pii_surrogates, quality_rules, sharding, simhash, token_store
+from tessella.llm import decontaminate, exact_dedup, language_id, line_dedup, pii_surrogates, quality_rules, sentencepieces, sharding, simhash, token_store
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_line_dedup": line_dedup.op3_line_dedup,
         "op4_simhash": simhash.op4_simhash,
         "op5_quality": quality_rules.op5_quality,
+        "op6_sentencepiece": sentencepieces.op6_sentencepiece,
         "op7_pii_surrogates": pii_surrogates.op7_pii_surrogates,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
