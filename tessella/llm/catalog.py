@@ -6,7 +6,10 @@ from tessella.llm import decontaminate, exact_dedup, language_id, line_dedup, pi
 
 
 def queries():
+    import corpus_pipeline  # at the repository's top, beside the entry points
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_language_id": language_id.op1_language_id,
         "op2_token_store": token_store.op2_token_store,
         "op3_line_dedup": line_dedup.op3_line_dedup,
@@ -21,4 +24,7 @@ def queries():
 
 
 def oracle_sql():
-    return {"op8_exact_dedup": exact_dedup.OP8_SQL}
+    import corpus_pipeline
+
+    out = {"op8_exact_dedup": exact_dedup.OP8_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {name: sql for name, sql in out.items() if sql}

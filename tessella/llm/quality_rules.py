@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import documents, write_table
+from tessella.llm.common import documents
 
 STATS = [
     "log_chars", "log_words", "mean_word", "upper", "lower", "digit", "space", "period_comma", "mark", "symbol",
@@ -53,16 +53,18 @@ def statistics(text: str | None) -> list[float]:
 
 
 def with_statistics(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
-    """The columns ``carry`` plus one double per statistic of the whole text."""
+    """The columns ``carry`` plus one double per statistic of the whole text in ``text_col``."""
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in carry] + [f"`{s}` double" for s in STATS])
+    sent = carry if text_col in carry else [*carry, text_col]
+    at = sent.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([statistics(t.as_py()) for t in batch.column(len(carry))], float).reshape(-1, len(STATS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(v) for v in values.T)], names=[*carry, *STATS])
+            values = np.array([statistics(t.as_py()) for t in batch.column(at)], float).reshape(-1, len(STATS))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *(pa.array(v) for v in values.T)], names=[*carry, *STATS])
 
-    return docs.select(*carry, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  #: conditions (statistic, above, threshold), all of which must hold
@@ -156,28 +158,41 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, leaf: int
     return RuleModel(intercept, [(r, float(w)) for r, w in zip(rules, weights) if abs(w) > 1e-9])
 
 
-def learn(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, sample: int) -> RuleModel:
-    """Fit on at most ``sample`` labelled rows, those whose id hashes lowest; rows with id crc32 mod 5 = 0 are left out."""
+def learn(rows: DataFrame, labels: DataFrame, id_col: str, label_col: str, sample: int) -> RuleModel:
+    """Fit on the texts of at most ``sample`` labelled ids, those that hash lowest; ids with crc32 mod 5 = 0 are left out.
+
+    ``rows`` has (id, text). The chosen ids are at most ``sample``, so they are broadcast and no text is shuffled; rows
+    that share an id count once.
+    """
     known = labels.where(F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0))
     known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    rows = stats.select("id", *STATS).join(known, "id").limit(2 * sample).toPandas().sort_values(["id", "label", *STATS])
-    return fit(rows[STATS].to_numpy(float), rows["label"].to_numpy())
+    stats = with_statistics(rows.join(F.broadcast(known), "id"), ["id", "label"], "text")
+    data = stats.groupBy("id", "label").agg(*[F.min(s).alias(s) for s in STATS]).toPandas().sort_values(["id", "label"])
+    return fit(data[STATS].to_numpy(float), data["label"].to_numpy())
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns; see ``classify``."""
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*inner)
+    id_, text = inner[docs.columns.index(id_col)], inner[docs.columns.index(text_col)]
+    score = learn(rows.select(F.col(id_).alias("id"), F.col(text).alias("text")), labels, id_col, label_col, sample).score()
+    return with_statistics(rows, inner, text).where(score >= threshold).select(*inner).toDF(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 20_000, threshold: float = 0.3) -> DataFrame:
     """Rows (id, held_out, score, predicted), one per row of ``docs``.
 
-    The model is learnt from at most ``sample`` labelled rows, none of them held out (crc32 of the id as text,
-    mod 5 = 0), and applied to every whole text as a Spark column expression. Defined results: a null or
-    empty text has zero statistics and still a score; without labels, or with one class only, the
-    score is the (smoothed) share of label 1, 0.5 without any; a null id is not held out; repeated rows
-    each give a row; other columns are not read.
+    The model is learnt from at most ``sample`` labelled ids, none of them held out (crc32 of the id as text,
+    mod 5 = 0), and applied to the statistics of every whole text as a Spark column expression. Defined
+    results: a null or empty text has zero statistics and still a score; without labels, or with one class
+    only, the score is the (smoothed) share of label 1, 0.5 without any; a null id is not held out; repeated
+    rows each give a row; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    stats = write_table(with_statistics(rows, ["id"], "text"), "statistics")
-    score = learn(stats, labels, id_col, label_col, sample).score()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    score = learn(rows, labels, id_col, label_col, sample).score()
     held = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    out = stats.select("id", held.alias("held_out"), score.alias("score"))
+    out = with_statistics(rows, ["id"], "text").select("id", held.alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
