@@ -1 +1,291 @@
-"""Queries."""
+"""Queries over documents, sections, items and their quality."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessella.functions.python import repair_spacing
+from tessella.functions.text import fold, folder_safe, joined_term, registration_base, squeeze, sql_fold, tokens
+from tessella.operators import ages as A
+from tessella.operators import quality as Q
+from tessella.operators import sections as S
+from tessella.plans.registry import query
+from tessella.sources.tables import table
+
+# Documents -------------------------------------------------------------------------------------------------------
+
+
+def markdown(spark, root):
+    """``pages`` as markdown-like text with numbered sections."""
+    p = table(spark, root, "pages", "page_id", "html")
+    plain = squeeze(F.regexp_replace("html", "<[^>]*>", " "))
+    half = F.floor(F.length(plain) / 2).cast("int")
+    head = F.when(F.col("page_id") % 4 == 0, "## 4.l Indications\n").when(F.col("page_id") % 4 == 1, "## 4. CLINICAL4. 1 Indications\n").when(F.col("page_id") % 4 == 2, "# 4 .1. Indications\n").otherwise("Indications\n")
+    md = F.concat(F.lit("# Title\n"), head, F.substr(plain, F.lit(1), half), F.lit("\n## 4.2 Dosing\n| a | b |\n|---|---|\n| 1 | 2 |\n"), F.substr(plain, half + 1), F.when(F.col("page_id") % 3 == 0, "\n# PŘÍLOHA II\nrest").otherwise("\n# PŘÍLOHA III\nrest"))
+    return p.select("page_id", md.alias("md"))
+
+
+_MD = r"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM pages),
+h AS (SELECT page_id, plain, (length(plain) // 2) AS half, CASE page_id % 4 WHEN 0 THEN '## 4.l Indications' || chr(10) WHEN 1 THEN '## 4. CLINICAL4. 1 Indications' || chr(10) WHEN 2 THEN '# 4 .1. Indications' || chr(10) ELSE 'Indications' || chr(10) END AS head FROM p),
+m AS (SELECT page_id, '# Title' || chr(10) || head || substr(plain, 1, half) || chr(10) || '## 4.2 Dosing' || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || substr(plain, half + 1) || CASE WHEN page_id % 3 = 0 THEN chr(10) || '# PŘÍLOHA II' || chr(10) || 'rest' ELSE chr(10) || '# PŘÍLOHA III' || chr(10) || 'rest' END AS md, substr(plain, 1, half) AS part FROM h) """
+
+
+@query("slice_section", _MD + "SELECT page_id, page_id % 4 <> 3 AS found, CASE WHEN page_id % 4 = 3 THEN 0 ELSE length(trim(CASE WHEN page_id % 4 = 2 THEN '. Indications' ELSE ' Indications' END || chr(10) || trim(part || 'x', ''))) - 1 END AS chars FROM m")
+def slice_section(spark, root):
+    text = S.slice_section(F.col("md"), "4.1", "4.2")
+    whole = F.rtrim(text)
+    return markdown(spark, root).select("page_id", text.isNotNull().alias("found"), F.coalesce(F.length(F.regexp_replace(whole, r"\n$", "")), F.lit(0)).cast("long").alias("chars"))
+
+
+@query("table_detection", _MD + "SELECT page_id, len(list_filter(string_split(md, chr(10)), lambda x: starts_with(ltrim(x), '|'))) >= 3 AS has_table, len(regexp_extract_all(md, '(?m)^\\|[ \\t:|-]*-[ \\t:|-]*\\|?[ \\t]*$')) AS tables FROM m")
+def table_detection(spark, root):
+    return markdown(spark, root).select("page_id", S.has_table(F.col("md")).alias("has_table"), S.table_count(F.col("md")).cast("long").alias("tables"))
+
+
+@query("cut_annex", _MD + "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN strpos(md, '# PŘÍLOHA II') - 1 ELSE length(md) END AS chars FROM m")
+def cut_annex(spark, root):
+    return markdown(spark, root).select("page_id", F.length(S.cut_annex(F.col("md"))).cast("long").alias("chars"))
+
+
+@query("list_to_lines", r"SELECT p_partkey, regexp_replace(p_name || ' ; ' || p_type || ';' || p_brand, '\s*;\s*', chr(10), 'g') AS lines FROM part")
+def list_to_lines(spark, root):
+    return table(spark, root, "part").select("p_partkey", S.list_to_lines(F.concat("p_name", F.lit(" ; "), "p_type", F.lit(";"), "p_brand")).alias("lines"))
+
+
+def _broken(word: str) -> str:
+    return " ".join([word[:1], word[1:]]) if " " not in word else word.replace(" ", "  ")
+
+
+_WORDS = ["velmi časté", "Velmi vzácné", "méně časté", "Vzácné", "časté"]
+_BROKEN = ["v elmi č asté", "V elmi vz ácné", "mé ně časté", "V zácné", "č asté"]
+
+
+@query("glue_frequency_words", "SELECT event_id, event_type || ': ' || [" + ", ".join(f"'{w}'" for w in _WORDS) + "][event_id % 5 + 1] || ' (' || user_id || ')' AS fixed FROM events")
+def glue_frequency_words(spark, root):
+    words = F.element_at(F.array(*[F.lit(w) for w in _BROKEN]), (F.col("event_id") % 5 + 1).cast("int"))
+    t = F.concat("event_type", F.lit(": "), words, F.lit(" ("), F.col("user_id").cast("string"), F.lit(")"))
+    return table(spark, root, "events").select("event_id", S.glue_frequency(t).alias("fixed"))
+
+
+_LINES = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), m AS (SELECT doc_id, pos, CASE WHEN pos % 7 = 0 THEN '## Dospělí ' || doc_id || ':' WHEN pos % 7 = 4 THEN '# Ostatní' ELSE line END AS line FROM l)"
+
+
+@query("forward_fill_heading", _LINES + r""", h AS (SELECT *, CASE WHEN pos % 7 = 0 THEN 'Dospělí ' || doc_id WHEN pos % 7 = 4 THEN '' END AS mark FROM m),
+f AS (SELECT doc_id, pos, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS g, mark IS NOT NULL AS head FROM h)
+SELECT doc_id, pos, coalesce(nullif(g, ''), '-') AS patient_group FROM f WHERE NOT head""")
+def forward_fill_heading(spark, root):
+    lines = S.lines_of(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
+    k = F.col("pos") % 7
+    lines = lines.withColumn("line", F.when(k == 0, F.concat(F.lit("## Dospělí "), F.col("doc_id").cast("string"), F.lit(":"))).when(k == 4, "# Ostatní").otherwise(F.regexp_replace("line", "^#", "")))
+    out = S.fill_group_headings(lines, "doc_id").where(~F.col("is_heading"))
+    return out.select("doc_id", F.col("pos").cast("long").alias("pos"), F.coalesce("group", F.lit("-")).alias("patient_group"))
+
+
+@query("doc_vocabulary", "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents), c AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2) SELECT doc_id, count(*) FILTER (WHERE length(word) >= 4) AS whole, count(*) FILTER (WHERE length(word) BETWEEN 2 AND 3 AND n >= 3) AS stands FROM c WHERE length(word) >= 4 OR (length(word) >= 2 AND n >= 3) GROUP BY 1")
+def doc_vocabulary(spark, root):
+    v = S.vocabulary(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
+    return v.groupBy("doc_id").agg(F.count_if(F.col("kind") == "whole").alias("whole"), F.count_if(F.col("kind") == "stands").alias("stands"))
+
+
+@query("coverage_ratio", """WITH r AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM benchmark), n AS (SELECT item_id, token, count(*) AS n FROM r GROUP BY 1, 2),
+p AS (SELECT doc_id % 40 AS item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents WHERE doc_id < 40), m AS (SELECT item_id, token, count(*) AS m FROM p GROUP BY 1, 2)
+SELECT item_id, round(sum(least(n, coalesce(m, 0)))::DOUBLE / sum(n), 10) AS coverage, sum(least(n, coalesce(m, 0)))::DOUBLE / sum(n) < 0.9 AS suspicious FROM n LEFT JOIN m USING (item_id, token) GROUP BY 1""")
+def coverage_ratio(spark, root):
+    words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0))).alias("token")
+    r = table(spark, root, "benchmark").select("item_id", words("text"))
+    p = table(spark, root, "documents", "doc_id", "text").where("doc_id < 40").select(F.col("doc_id").alias("item_id"), words("text"))
+    return S.coverage(r, p, "item_id").select("item_id", F.round("coverage", 10).alias("coverage"), (F.col("coverage") < 0.9).alias("suspicious"))
+
+
+@query("repair_spacing")
+def repair(spark, root):
+    return table(spark, root, "documents", "doc_id", "text").select("doc_id", F.length(repair_spacing("text")).alias("chars"))
+
+
+# Items -----------------------------------------------------------------------------------------------------------
+
+
+@query("item_text_join", """WITH i AS (SELECT doc_id, split_part(text, ' ', 1) AS lay, CASE WHEN quality = 1 THEN substr(text, 1, 70) WHEN quality = 0 THEN upper(split_part(text, ' ', 1)) ELSE split_part(text, ' ', 2) END AS technical FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, CASE WHEN lower(technical) <> lower(lay) AND length(technical) <= 60 THEN lay || ' (' || technical || ')' ELSE lay END AS item_text FROM i""")
+def item_text_join(spark, root):
+    d = table(spark, root, "documents", "doc_id", "text").join(table(spark, root, "labels", "doc_id", "quality"), "doc_id", "left")
+    word = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
+    technical = F.when(F.col("quality") == 1, F.substring("text", 1, 70)).when(F.col("quality") == 0, F.upper(word(1))).otherwise(word(2))
+    return d.select("doc_id", joined_term(word(1), technical).alias("item_text"))
+
+
+@query("explode_items", _LINES.split(", m AS")[0] + " SELECT doc_id, pos, length(line) AS chars FROM l WHERE NOT list_contains([1, 3], pos) AND trim(line) <> ''")
+def explode_items(spark, root):
+    """Items to rows with their position; rejected positions and empty texts are left out."""
+    items = table(spark, root, "documents", "doc_id", "text").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    return items.where(~F.col("pos").isin(1, 3) & (F.trim("line") != "")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("line").cast("long").alias("chars"))
+
+
+@query("identity_row", """WITH x AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), r AS (SELECT l_suppkey, l_partkey, unnest([p_brand, p_type, p_size || ' mg']) AS v, generate_subscripts([1, 2, 3], 1) AS i FROM x JOIN part ON p_partkey = l_partkey),
+f AS (SELECT l_suppkey, v, min((l_partkey, i)) AS place FROM r GROUP BY 1, 2)
+SELECT l_suppkey, md5(string_agg(v, ' ' ORDER BY place)) AS identity_md5, count(*) AS parts FROM f GROUP BY 1""")
+def identity_row(spark, root):
+    """One row per document: distinct values over all its codes, in the order they first occur."""
+    x = table(spark, root, "lineitem", "l_suppkey", "l_partkey").distinct()
+    p = table(spark, root, "part").select(F.col("p_partkey").alias("l_partkey"), F.array("p_brand", "p_type", F.concat(F.col("p_size").cast("string"), F.lit(" mg"))).alias("vs"))
+    rows = x.join(p, "l_partkey").select("l_suppkey", "l_partkey", F.posexplode("vs").alias("i", "v"))
+    first = rows.groupBy("l_suppkey", "v").agg(F.min(F.struct("l_partkey", "i")).alias("at"))
+    g = first.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("vs"))  # distinct values of one document
+    return g.select("l_suppkey", F.md5(F.array_join(F.transform("vs", lambda s: s["v"]), " ")).alias("identity_md5"), F.size("vs").cast("long").alias("parts"))
+
+
+@query("representative_min", "SELECT DISTINCT l_suppkey, l_partkey, min(l_partkey) OVER (PARTITION BY l_suppkey) AS representative, l_partkey = min(l_partkey) OVER (PARTITION BY l_suppkey) AS is_representative FROM lineitem")
+def representative_min(spark, root):
+    x = table(spark, root, "lineitem", "l_suppkey", "l_partkey").distinct()
+    rep = x.groupBy("l_suppkey").agg(F.min("l_partkey").alias("representative"))
+    return x.join(rep, "l_suppkey").withColumn("is_representative", F.col("l_partkey") == F.col("representative"))
+
+
+@query("dispensing_tristate", "SELECT o_orderkey, CASE WHEN upper(trim(o_orderstatus)) IN ('F') THEN true WHEN upper(trim(o_orderstatus)) IN ('O') THEN false END AS rx, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) AS reimbursed, CASE WHEN upper(trim(o_orderstatus)) = 'F' THEN 'Rx' WHEN upper(trim(o_orderstatus)) = 'O' THEN 'OTC' ELSE 'unknown' END AS label FROM orders")
+def dispensing_tristate(spark, root):
+    o = table(spark, root, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    rich = table(spark, root, "customer", "c_custkey", "c_acctbal").where("c_acctbal > 5000").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("hit")).distinct()
+    code = F.upper(F.trim("o_orderstatus"))
+    rx = F.when(code == "F", F.lit(True)).when(code == "O", F.lit(False))
+    label = F.when(rx, "Rx").when(~rx, "OTC").otherwise("unknown")
+    return o.join(rich, "o_custkey", "left").select("o_orderkey", rx.alias("rx"), F.coalesce("hit", F.lit(False)).alias("reimbursed"), label.alias("label"))
+
+
+@query("registration_base_key", r"SELECT c_custkey, coalesce(nullif(regexp_extract(r, '^(EU/\d+/\d+/\d+)', 1), ''), r) AS base_key, substr(regexp_replace(r || ' ' || c_name, '[^A-Za-z0-9_]', '_', 'g'), 1, 80) AS folder FROM (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 'EU/1/' || (c_custkey % 20) || '/' || (c_custkey % 7) || '/00' || (c_custkey % 4) ELSE c_nationkey || '/' || c_custkey || '-C' END AS r FROM customer)")
+def registration_base_key(spark, root):
+    k = F.col("c_custkey")
+    s = lambda c: c.cast("string")
+    r = F.when(k % 3 == 0, F.concat(F.lit("EU/1/"), s(k % 20), F.lit("/"), s(k % 7), F.lit("/00"), s(k % 4))).otherwise(F.concat(s(F.col("c_nationkey")), F.lit("/"), s(k), F.lit("-C")))
+    return table(spark, root, "customer").select("c_custkey", registration_base(r).alias("base_key"), folder_safe(F.concat(r, F.lit(" "), "c_name")).alias("folder"))
+
+
+@query("code_to_name", "SELECT s_suppkey, list_aggregate(list_transform([s_nationkey, (s_nationkey + 7) % 25, 99], lambda k: coalesce((SELECT max(n_name) FROM nation WHERE n_nationkey = k), k::VARCHAR)), 'string_agg', ', ') AS names FROM supplier".replace("list_aggregate(list_transform([s_nationkey, (s_nationkey + 7) % 25, 99], lambda k: coalesce((SELECT max(n_name) FROM nation WHERE n_nationkey = k), k::VARCHAR)), 'string_agg', ', ')", "(SELECT n_name FROM nation WHERE n_nationkey = s_nationkey) || ', ' || (SELECT n_name FROM nation WHERE n_nationkey = (s_nationkey + 7) % 25) || ', 99'"))
+def code_to_name(spark, root):
+    """Codes in an array to names; a code without a name stays."""
+    s = table(spark, root, "supplier").select("s_suppkey", F.posexplode(F.array(F.col("s_nationkey"), (F.col("s_nationkey") + 7) % 25, F.lit(99))).alias("i", "code"))
+    n = table(spark, root, "nation").select(F.col("n_nationkey").alias("code"), "n_name")
+    named = s.join(n, "code", "left").groupBy("s_suppkey").agg(F.array_sort(F.collect_list(F.struct("i", F.coalesce("n_name", F.col("code").cast("string")).alias("n")))).alias("x"))
+    return named.select("s_suppkey", F.array_join(F.transform("x", lambda v: v["n"]), ", ").alias("names"))
+
+
+# Ages ------------------------------------------------------------------------------------------------------------
+
+_BANS = """WITH b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 1 THEN 'yes' ELSE 'no' END AS kind, floor(l_quantity / 10) AS lo, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE floor(l_quantity / 10) + l_linenumber END AS hi, CASE WHEN l_suppkey % 4 <> 0 THEN floor(l_quantity / 10) END AS dlo FROM lineitem),
+y AS (SELECT l_orderkey, min(CASE WHEN kind = 'yes' THEN dlo END) AS low, list({'lo': lo, 'hi': hi} ORDER BY lo, hi) FILTER (WHERE kind = 'no' AND hi IS NOT NULL) AS bans,
+  coalesce(bool_or(kind = 'yes' AND lo < 18), false) AS cy, coalesce(bool_or(kind = 'no' AND lo <= 0 AND (hi IS NULL OR hi >= 18)), false) AS cb FROM b GROUP BY 1),
+a AS (SELECT *, CASE WHEN low IS NOT NULL THEN list_reduce(list_concat([low], list_transform(coalesce(bans, []), lambda x: x.lo * 1000 + x.hi)), lambda s, x: CASE WHEN floor(x / 1000) <= s AND s < x - floor(x / 1000) * 1000 THEN x - floor(x / 1000) * 1000 ELSE s END) END AS age FROM y)
+SELECT l_orderkey, round(age, 2) AS age_from, CASE WHEN age IS NULL THEN CASE WHEN cb THEN false WHEN cy THEN true END ELSE age < 18 OR (cy AND NOT cb) END AS for_children FROM a"""
+
+
+@query("min_age_fixpoint", _BANS)
+def min_age_fixpoint(spark, root):
+    n = F.col("l_linenumber")
+    tens = F.floor(F.col("l_quantity") / 10).cast("double")
+    e = table(spark, root, "lineitem").select("l_orderkey", F.when(n % 3 == 1, "yes").otherwise("no").alias("kind"), tens.alias("lo"), F.when(n % 5 != 0, tens + n).alias("hi"), F.when(F.col("l_suppkey") % 4 != 0, tens).alias("definite_lo"))
+    return A.minimum_age(e, "l_orderkey")
+
+
+_DOSES = ["'2 tablety denně'", "'Nedoporučuje se'", "'neuvedeno'", "'jedna injekce'", "'podle potřeby'"]
+_NOTES = ["'pouze na doporučení lékaře'", "''", "'nebyla stanovena'"]
+
+
+@query("dose_kind", f"""WITH p AS (SELECT p_partkey, CASE p_partkey % 5 {' '.join(f'WHEN {i} THEN {d}' for i, d in enumerate(_DOSES))} END AS dose, CASE p_size % 3 {' '.join(f'WHEN {i} THEN {d}' for i, d in enumerate(_NOTES))} END AS note, CASE WHEN p_size % 2 = 0 THEN 'TBL NOB' ELSE 'INJ SOL' END AS form FROM part),
+f AS (SELECT p_partkey, form, {sql_fold('dose')} AS d, {sql_fold('note')} AS n FROM p)
+SELECT p_partkey, CASE WHEN regexp_matches(d, '{A.BAN}') THEN 'no' WHEN regexp_matches(n, '{A.DOCTOR_ONLY}') THEN 'no' WHEN regexp_matches(d, '{A.DOSE}') THEN 'yes' WHEN regexp_matches(n, '{A.BAN}') THEN 'no' END AS kind,
+ (contains(d, 'tablet') AND form = 'INJ SOL') OR (contains(d, 'injek') AND form = 'TBL NOB') AS other_form FROM f""")
+def dose_kind(spark, root):
+    pick = lambda values, c: F.element_at(F.array(*[F.lit(v.strip("'")) for v in values]), (c % len(values) + 1).cast("int"))
+    p = table(spark, root, "part").select("p_partkey", pick(_DOSES, F.col("p_partkey")).alias("dose"), pick(_NOTES, F.col("p_size")).alias("note"), F.when(F.col("p_size") % 2 == 0, "TBL NOB").otherwise("INJ SOL").alias("form"))
+    return p.select("p_partkey", A.dose_kind(F.col("dose"), F.col("note")).alias("kind"), A.other_form(F.col("dose"), F.col("form")).alias("other_form"))
+
+
+@query("tags_conditions", f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN regexp_matches(x, {chr(39)}{p}{chr(39)}) THEN {chr(39)}{k}{chr(39)} END' for k, p in A.CONDITIONS.items())}], lambda v: v IS NOT NULL), ',') AS tags FROM (SELECT doc_id, {sql_fold('text || CASE WHEN doc_id % 3 = 0 THEN ' + chr(39) + ' ledvin 5 kg' + chr(39) + ' ELSE ' + chr(39) + ' těhotné' + chr(39) + ' END')} AS x FROM documents)")
+def tags_conditions(spark, root):
+    t = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " ledvin 5 kg").otherwise(" těhotné"))
+    return table(spark, root, "documents", "doc_id", "text").select("doc_id", F.array_join(A.conditions(t), ",").alias("tags"))
+
+
+# Quality ---------------------------------------------------------------------------------------------------------
+
+
+@query("section_coverage", "WITH g AS (SELECT source, list_sort(list(DISTINCT lang) FILTER (WHERE n_chars > 20000)) AS p FROM documents GROUP BY 1) SELECT source, array_to_string(coalesce(p, []), ',') AS present, array_to_string(list_filter(['de', 'en', 'es', 'fr'], lambda x: NOT list_contains(coalesce(p, []), x)), ',') AS missing FROM g WHERE len(list_filter(['de', 'en', 'es', 'fr'], lambda x: NOT list_contains(coalesce(p, []), x))) > 0")
+def section_coverage(spark, root):
+    d = table(spark, root, "documents", "source", "lang", "n_chars")
+    out = Q.section_coverage(d.select("source").distinct(), d.where("n_chars > 20000").select("source", "lang").distinct(), "source", "lang", ["en", "de", "fr", "es"])
+    return out.select("source", F.array_join("present", ",").alias("present"), F.array_join("missing", ",").alias("missing"))
+
+
+@query("having_suspicious", "SELECT source, lang, count(*) AS items, max(length(text)) AS longest FROM documents GROUP BY 1, 2 HAVING count(*) > 30 OR max(length(text)) > 25000")
+def having_suspicious(spark, root):
+    out = Q.suspicious(table(spark, root, "documents", "source", "lang", "text"), ["source", "lang"], "text", 30, 25000)
+    return out.withColumn("longest", F.col("longest").cast("long"))
+
+
+@query("dedup_rows", "SELECT count(*) AS total, count(DISTINCT (text, lang)) AS distinct_rows, count(*) - count(DISTINCT (text, lang)) AS duplicates FROM documents")
+def dedup_rows(spark, root):
+    return Q.duplicates(table(spark, root, "documents", "text", "lang"), ["text", "lang"])
+
+
+_KEYS = "WITH r AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 50 AS t, 'k' || (l_quantity::INT % 7) || CASE WHEN l_tax > 0.04 THEN 'x' ELSE '' END AS k FROM lineitem), c AS (SELECT t, k, count(*) AS n FROM r GROUP BY 1, 2), b AS (SELECT t, k FROM c QUALIFY row_number() OVER (PARTITION BY t ORDER BY n DESC, length(k), k) = 1) "
+
+
+@query("key_unify", _KEYS + "SELECT t, k FROM b")
+def key_unify(spark, root):
+    return Q.unify_key(_keyed(spark, root), "t", "k")
+
+
+@query("null_safe_update", _KEYS + "SELECT id, r.k AS old, b.k AS new FROM r JOIN b USING (t) WHERE b.k IS DISTINCT FROM r.k")
+def null_safe_update(spark, root):
+    return Q.changed_keys(_keyed(spark, root), "id", "t", "k")
+
+
+def _keyed(spark, root):
+    k = F.concat(F.lit("k"), (F.col("l_quantity").cast("int") % 7).cast("string"), F.when(F.col("l_tax") > 0.04, "x").otherwise(""))
+    return table(spark, root, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 50).alias("t"), k.alias("k"))
+
+
+@query("atc_mismatch", """WITH r AS (SELECT DISTINCT l_partkey % 40 AS term, CASE WHEN l_suppkey % 11 = 0 THEN 'Z' ELSE substr(p_type, 1, 1 + (l_partkey % 40 % 2)) END AS cls, l_suppkey FROM lineitem JOIN part ON p_partkey = l_partkey),
+p AS (SELECT term, cls, count(*) AS holders FROM r GROUP BY 1, 2), s AS (SELECT term, count(DISTINCT l_suppkey) AS h FROM r GROUP BY 1 HAVING count(DISTINCT l_suppkey) >= 8),
+w AS (SELECT *, sum(holders) OVER (PARTITION BY term) AS total, max(holders) OVER (PARTITION BY term) AS most FROM p WHERE term IN (SELECT term FROM s))
+SELECT term, cls, holders, round(holders::DOUBLE / total, 10) AS share FROM w WHERE most::DOUBLE / total >= 0.2 AND holders::DOUBLE / total < 0.1""")
+def atc_mismatch(spark, root):
+    li = table(spark, root, "lineitem", "l_partkey", "l_suppkey").join(table(spark, root, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type"), "l_partkey")
+    cls = F.when(F.col("l_suppkey") % 11 == 0, "Z").otherwise(F.substr("p_type", F.lit(1), (F.lit(1) + F.col("l_partkey") % 40 % 2).cast("int")))
+    out = Q.rare_class(li.select((F.col("l_partkey") % 40).alias("term"), cls.alias("cls"), "l_suppkey"), "term", "cls", "l_suppkey", 8, 0.1, 0.2)
+    return out.withColumn("share", F.round("share", 10))
+
+
+@query("fragment_detectors", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+i AS (SELECT doc_id, pos, trim(line) AS t, len(regexp_split_to_array(trim(line), '\s+')) AS n FROM l WHERE trim(line) <> ''),
+w AS (SELECT *, lower(regexp_replace(split_part(t, ' ', 1), '^[(,]+|[(,]+$', '', 'g')) AS f, (SELECT max(j.n) FROM i j WHERE j.doc_id = i.doc_id AND j.pos <> i.pos) AS o FROM i),
+r AS (SELECT doc_id, pos, CASE WHEN regexp_matches(f, '^(u|s|se|při|pro|po|ke|k|v|ve|z|ze|of|in|with|de|en|von|mit)$') THEN 'preposition' WHEN regexp_matches(f, '^[a-z-]+(em|ou|ami|ech|ing|ed)$') AND substr(t, 1, 1) <> upper(substr(t, 1, 1)) THEN 'inflected' WHEN n <= 2 AND o >= 8 THEN 'short' END AS reason FROM w)
+SELECT doc_id, pos, reason FROM r WHERE reason IS NOT NULL""")
+def fragment_detectors(spark, root):
+    lines = S.lines_of(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text").withColumn("t", F.trim("line")).where("t != ''")
+    lines = lines.withColumn("n", F.size(F.split("t", r"\s+"))).withColumn("other", Q.longest_other("n", ["doc_id"], "pos"))
+    return lines.withColumn("reason", Q.fragment_reason(F.col("t"), F.col("other"))).where("reason IS NOT NULL").select("doc_id", F.col("pos").cast("long").alias("pos"), "reason")
+
+
+@query("column_agreement", """WITH a AS (SELECT event_type AS col, unnest(regexp_extract_all(props, '[0-9a-z]+')) AS token, event_id FROM events), x AS (SELECT col, token, count(*) AS n FROM a WHERE event_id % 2 = 0 GROUP BY 1, 2), y AS (SELECT col, token, count(*) AS m FROM a WHERE event_id % 3 <> 0 GROUP BY 1, 2)
+SELECT col, sum(least(n, coalesce(m, 0)))::BIGINT AS same, sum(n)::BIGINT AS total, count(*) FILTER (WHERE m IS NULL) AS lost FROM x LEFT JOIN y USING (col, token) GROUP BY 1""")
+def column_agreement(spark, root):
+    """Tokens of each column in a produced table against the source, as multisets."""
+    a = table(spark, root, "events", "event_id", "event_type", "props").select("event_id", F.col("event_type").alias("col"), F.explode(F.regexp_extract_all("props", F.lit("[0-9a-z]+"), F.lit(0))).alias("token"))
+    x = a.where("event_id % 2 = 0").groupBy("col", "token").agg(F.count("*").alias("n"))
+    y = a.where("event_id % 3 != 0").groupBy("col", "token").agg(F.count("*").alias("m"))
+    j = x.join(y, ["col", "token"], "left")
+    return j.groupBy("col").agg(F.sum(F.least("n", F.coalesce("m", F.lit(0)))).alias("same"), F.sum("n").alias("total"), F.count_if(F.col("m").isNull()).alias("lost"))
+
+
+@query("suggestion_list", f"WITH w AS (SELECT DISTINCT doc_id, source, unnest(regexp_extract_all({sql_fold('text')}, '[a-z0-9]+')) AS word FROM documents) SELECT word, count(DISTINCT source) AS sources, count(*) AS docs FROM w WHERE starts_with(word, 'er') GROUP BY 1 ORDER BY count(*) DESC, length(word), word LIMIT 10")
+def suggestion_list(spark, root):
+    w = table(spark, root, "documents", "doc_id", "source", "text").select("doc_id", "source", F.explode(F.array_distinct(tokens("text"))).alias("word")).where(F.col("word").startswith("er"))
+    g = w.groupBy("word").agg(F.countDistinct("source").alias("sources"), F.count("*").alias("docs"))
+    return g.orderBy(F.desc("docs"), F.length("word"), "word").limit(10)
+
+
+@query("variant_item_counts", "SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, array_to_string(list_sort(list(DISTINCT role)), ',') AS all_roles, sum(len(string_split(text, ' ')))::BIGINT AS words FROM conversations GROUP BY 1")
+def variant_item_counts(spark, root):
+    c = table(spark, root, "conversations")
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("role").alias("roles"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("all_roles"), F.sum(F.size(F.split("text", " "))).alias("words"))
