@@ -1,0 +1,308 @@
+"""Language ID, quality, decontamination, tokens, pieces, surrogates and sharding on small fixtures."""
+
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from tests.llm.conftest import prose
+from tessella.llm import decontaminate, language_id, pii_surrogates, quality_rules, sentencepieces, sharding, token_store
+
+BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+SF = "/root/testdata/sf0.01"
+
+
+def held(i, m, k):
+    return i is not None and zlib.crc32(str(i).encode()) % m == k
+
+
+# Language ID -----------------------------------------------------------------------------------------------------
+
+
+def naive_profile(texts, size):
+    from collections import Counter
+
+    n = Counter()
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            p = f" {w} "
+            n.update(w)
+            n.update(p[i : i + 2] for i in range(len(p) - 1))
+            n.update(p[i : i + 3] for i in range(len(p) - 2))
+    code = lambda g: int("".join(f"{ord(c):021b}" for c in g), 2)
+    return [code(g) for g, _ in sorted(n.items(), key=lambda x: (-x[1], code(x[0])))[:size]]
+
+
+def test_profiles_and_distances(spark):
+    rows = [(i, f"der {prose(i, 30)} über", "de") for i in range(4)] + [(i, f"le {prose(i, 30)} été", "fr") for i in range(4, 8)] + [(9, None, "de"), (10, "abc", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.train_profiles(df, "text", "lang", 50)
+    want = {lang: naive_profile([t for _, t, l in rows if l == lang and t], 50) for lang in ("de", "fr")}
+    assert got == want
+    mine = naive_profile([rows[0][1]], 50)
+    far = {lang: sum(abs(p.index(g) - k) if g in p else 50 for k, g in enumerate(mine)) for lang, p in want.items()}
+    r = language_id.predict(df.where("doc_id = 0"), got, ["doc_id"], "text", 50).first()
+    assert r.lang_pred == min(far, key=far.get) and r.score == pytest.approx(1 - min(far.values()) / (50 * len(mine)))
+
+
+def test_language_edges(spark, edge_docs, edge_rows, empty_docs):
+    got = language_id.identify(edge_docs).collect()
+    assert len(got) == len(edge_rows)
+    for r in got:
+        assert r.held_out == held(r.id, 4, 2) and 0 <= r.score <= 1
+    assert {r.lang_pred for r in got if r.id in (7, 8, 9)} == {"und"}
+    assert language_id.identify(empty_docs).count() == 0
+
+
+def test_language_long_texts_are_counted_whole():
+    text = prose(1, 400_000)
+    codes, counts = language_id.gram_counts(text)
+    words = text.split()
+    assert len(text) > language_id._CHUNK and counts[codes == ord("a")][0] == sum(w.count("a") for w in words)
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    p = language_id.identify(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), left_on="id", right_on="doc_id")
+    p = p[p.held_out]
+    assert (p.lang == p.lang_pred).mean() > 0.98
+
+
+# Quality ---------------------------------------------------------------------------------------------------------
+
+
+def test_quality_held_out(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    p = quality_rules.classify(docs, labels).toPandas()
+    assert len(p) == docs.count() and p.score.between(0, 1).all() and ((p.score >= 0.3) == (p.predicted == 1)).all()
+    assert (p.held_out == [held(i, 5, 0) for i in p.id]).all()
+    m = p.merge(labels.toPandas(), left_on="id", right_on="doc_id")
+    m = m[m.held_out]
+    good, bad = m[m.quality == 1], m[m.quality == 0]
+    assert (good.predicted == 1).mean() > 0.95 and (bad.predicted == 0).mean() > 0.7
+
+
+def test_quality_columns_equal_the_model(spark):
+    r = np.random.default_rng(0)
+    x = r.normal(size=(400, len(quality_rules.STATS)))
+    y = ((x[:, 0] > 0) & (x[:, 3] < 0.5)).astype(int)
+    model = quality_rules.fit(x, y)
+    assert 1 <= len(model.rules) < 200
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x], ", ".join(f"{s} double" for s in quality_rules.STATS))
+    got = np.array([v[0] for v in df.select(model.score()).collect()])
+    total = model.intercept + sum(w * quality_rules._holds(rule, x) for rule, w in model.rules)
+    assert np.allclose(np.sort(got), np.sort(1 / (1 + np.exp(-total)))) and ((got >= 0.5).sum() - y.sum()) ** 2 < 400
+
+
+def test_quality_edges(spark, edge_docs, edge_rows, empty_docs):
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(1, 14)] + [(None, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
+    got = quality_rules.classify(edge_docs, labels).collect()
+    assert len(got) == len(edge_rows) and all(0 < r.score < 1 for r in got)
+    none = quality_rules.classify(edge_docs, labels.limit(0)).collect()
+    assert {r.score for r in none} == {0.5} and {r.predicted for r in none} == {1}
+    assert quality_rules.classify(empty_docs, labels).count() == 0
+    kept = quality_rules.keep_good(edge_docs, labels.limit(0))
+    assert kept.columns == edge_docs.columns and kept.count() == len(edge_rows)
+
+
+# Decontamination -------------------------------------------------------------------------------------------------
+
+
+def semi_global(pattern, text):
+    """Smallest edit distance of the pattern to any substring."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(pattern, 1):
+        new = [i]
+        for j, d in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_myers_against_table():
+    r = np.random.default_rng(2)
+    for _ in range(400):
+        p = "".join(r.choice(list("abc"), int(r.integers(1, 12))))
+        t = "".join(r.choice(list("abc"), int(r.integers(0, 25))))
+        d = semi_global(p, t)
+        for budget in range(0, len(p)):
+            assert decontaminate.occurs(decontaminate.pattern_masks(p), len(p), t, budget) == (d <= budget), (p, t, budget, d)
+
+
+def test_decontaminate(spark, edge_docs, edge_rows, empty_docs):
+    item = prose(7, 20)
+    changed = item.replace(item.split()[5], "Q" + item.split()[5][1:], 1).upper().replace(" ", ",  ", 4)
+    half = " ".join(item.split()[:9])
+    docs = [(1, f"{prose(8, 40)} {item} {prose(9, 40)}"), (2, f"{prose(8, 40)} {changed}"), (3, prose(8, 90)), (4, f"{half} {prose(9, 30)}"), (5, None), (5, item), (6, "")]
+    df = spark.createDataFrame([(i, t, 9) for i, t in docs], "doc_id long, text string, item_ids int")
+    bench = spark.createDataFrame([(1, item), (1, item), (2, prose(77, 25)), (3, None), (None, item), (4, " ,. ")], "item_id long, text string")
+    for block in (4_000_000, 50):  # the second holds the benchmark in several blocks
+        got = {(r.id, tuple(r.item_ids)) for r in decontaminate.decontaminate(df, bench, block_chars=block).collect()}
+        want = set()
+        for i, t in docs:
+            n = decontaminate.normalise(t)
+            hit = semi_global(decontaminate.normalise(item), n) <= int(len(decontaminate.normalise(item)) * 0.08) if n else False
+            want.add((i, (1,) if hit else ()))
+        assert got == (want if block > 50 else (want - {(5, ())}))
+    kept = decontaminate.clean(df, bench)
+    assert kept.columns == df.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, df.where("doc_id IN (3, 4, 6) OR text IS NULL").collect()))
+    assert decontaminate.decontaminate(edge_docs, bench).count() == len(edge_rows)
+    assert decontaminate.decontaminate(empty_docs, bench).count() == 0
+    assert {r.contaminated for r in decontaminate.decontaminate(edge_docs, bench.limit(0)).collect()} == {False}
+
+
+# Token store -----------------------------------------------------------------------------------------------------
+
+
+def test_token_store(spark, edge_docs, edge_rows, empty_docs):
+    t = Tokenizer.from_file(BYTE_BPE)
+    t.encode_special_tokens = True
+    rows = [*edge_rows, (20, "<|endoftext|> a  b "), (21, "don't we'll,, x.' (y)　z\x1f q\r\n "), (22, "  two  spaces "), (23, "naïve café ŒUVRE Ωmega ١٢ x² ½")]
+    df = spark.createDataFrame([(i, s, 3) for i, s in rows], "doc_id long, text string, chunk int")
+    got = sorted(token_store.tokenize(df, BYTE_BPE).collect(), key=lambda r: r.start)
+    assert len(got) == len(rows)
+    at, ids = 0, {}
+    for i, s in rows:
+        ids.setdefault(i, []).append([*t.encode(s or "", add_special_tokens=False).ids, 0])
+    last = None
+    for r in got:
+        assert r.start == at and r.n_tokens == len(r.ids) and list(r.ids) in ids[r.doc_id]
+        assert last is None or r.doc_id >= last
+        at, last = at + r.n_tokens, r.doc_id if r.doc_id is not None else last
+    crc = {(r.doc_id, r.ids_crc32) for r in token_store.ids_crc32(token_store.tokenize(df, BYTE_BPE)).collect()}
+    assert crc == {(i, zlib.crc32(np.array(x, "<u4").tobytes())) for i, xs in ids.items() for x in xs}
+    assert token_store.tokenize(empty_docs, BYTE_BPE).count() == 0
+
+
+def test_token_store_reads_selectively(spark, edge_docs):
+    path = token_store.new_path(spark, "test")
+    token_store.write_tokens(edge_docs, path, BYTE_BPE)
+    meta = token_store.read_tokens(spark, path, ids=False, where="doc_id = 10")
+    plan = meta._jdf.queryExecution().executedPlan().toString()
+    assert meta.count() == 1 and "ids" not in re.findall(r"ReadSchema: (\S+)", plan)[0] and "EqualTo(doc_id,10)" in plan
+    files = [f for f in spark.read.parquet(f"{path}/ids").inputFiles()]
+    import pyarrow.parquet as pq
+
+    column = pq.ParquetFile(files[0].removeprefix("file://")).metadata.row_group(0)
+    kinds = {column.column(i).path_in_schema: column.column(i) for i in range(column.num_columns)}
+    assert "DELTA_BINARY_PACKED" in kinds["doc_id"].encodings and kinds["doc_id"].has_offset_index and kinds["doc_id"].has_column_index
+
+
+# Pieces ----------------------------------------------------------------------------------------------------------
+
+
+def test_pieces_equal_the_library(spark, edge_docs, edge_rows, empty_docs):
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for most in (150_000, 0):  # the second folds every word in the task
+        got = sentencepieces.encode_documents(edge_docs, PIECES, table_words=most).collect()
+        want = sorted(repr((i, sp.encode(t or ""), t or "")) for i, t in edge_rows)
+        assert sorted(repr((r.id, list(r.ids), r.decoded)) for r in got) == want
+    assert sentencepieces.encode_documents(empty_docs, PIECES).count() == 0
+
+
+def test_lattice_folds_equal_the_helper(spark):
+    model = sentencepieces.load_model(PIECES)
+    words = sorted(set(sentencepieces.words_of(prose(4, 200) + " přehled 短い x🤗y ▁▁ "))) + ["▁"]
+    df = spark.createDataFrame([(w,) for w in set(words)], "word string")
+    for kind in (sentencepieces.BPE, sentencepieces.UNIGRAM):
+        model.kind = kind
+        helper = sentencepieces.WordEncoder(model, {}, 0)
+        for r in sentencepieces.encode_words(df, model).collect():
+            spans = helper._merge(r.word) if kind == sentencepieces.BPE else helper._viterbi(r.word)
+            assert [r.word[a:b] for a, b in zip(r.bounds, r.bounds[1:])] == spans
+
+
+def test_unigram_fold_is_optimal():
+    r = np.random.default_rng(3)
+    model = sentencepieces.PieceModel(1, {}, None, 0, [])
+    for _ in range(50):
+        model.scores = {"".join(r.choice(list("ab"), int(k))): (float(r.normal()) - 2, 1) for k in r.integers(1, 4, 8)}
+        w = "".join(r.choice(list("ab"), 8))
+        score = lambda spans: sum(model.scores[s][0] if s in model.scores else -1e4 * len(s) for s in spans)
+        best = max(score([w[a:b] for a, b in zip((0, *c), (*c, 8))]) for c in cuts(8))
+        assert score(sentencepieces.WordEncoder(model, {}, 0)._viterbi(w)) == pytest.approx(best)
+
+
+def cuts(n):
+    for mask in range(1 << (n - 1)):
+        yield tuple(i + 1 for i in range(n - 1) if mask >> i & 1)
+
+
+# Surrogates ------------------------------------------------------------------------------------------------------
+
+
+def test_surrogates(spark, edge_docs, edge_rows, empty_docs):
+    text = ("Mr. John Smith met Frau Greta Huber; later Mr. Smith wrote to john.smith@mail.acme.com or JOHN.smith@mail.acme.com, tel +1 (434) 555-7062 or "
+            "+1-434-555-7062. Cards 4111 1111 1111 1111 and 4111111111111111, ip 10.0.0.1, token = \"068c002651439458202064d35406d6b34bf01abe\", г-жа Анна Петрова.")
+    rows = [(1, text), (2, None), (3, ""), (4, "Licensed under the Apache License, Version 2.0 on 2024-01-02; item 4711."), (5, "mail a@b.org and john.smith@mail.acme.com"), (5, "ip 10.0.0.1")]
+    rows += [(100 + i, f"user{i}@x{i % 7}.org 10.{i % 250}.3.{i % 200} +1 (20{i % 10}) 555-{1000 + i}") for i in range(150)]
+    df = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, news string")
+    out = {(r.doc_id, n): r for n, r in enumerate(sorted(pii_surrogates.pseudonymise(df, "k").collect(), key=lambda r: (r.doc_id, r.text or "")))}
+    by = {}
+    for r in out.values():
+        by.setdefault(r.doc_id, []).append(r)
+    one = by[1][0].text
+    assert by[2][0].text is None and by[3][0].text == "" and by[4][0].text == rows[3][1] and by[4][0].n_replaced == 0
+    for secret in ("John", "Smith", "Huber", "acme", "434", "555-7062", "4111 1111", "10.0.0.1", "068c00", "Петрова"):
+        assert secret not in one
+    surname = re.search(r"^Mr\. \w+ (\w+) met Frau \w+ (\w+); later Mr\. (\w+) wrote", one)
+    assert surname[1] == surname[3] != surname[2]
+    mails = re.findall(r"\S+@[\w.]+\w", one)
+    assert mails[0] == mails[1] and mails[0] in by[5][0].text + by[5][-1].text
+    phones = re.search(r"tel (\+1 \(\d{3}\) \d{3}-\d{4}) or (\+1-\d{3}-\d{3}-\d{4})", one)
+    assert re.sub(r"\D", "", phones[1]) == re.sub(r"\D", "", phones[2])
+    card = re.sub(" ", "", re.search(r"Cards (4\d{3} \d{4} \d{4} \d{4}) and", one)[1])
+    digits = [int(c) for c in card]
+    assert sum(d if i % 2 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(digits)) % 10 == 0 and card in one
+    assert re.search(r'token = "[0-9a-f]{40}"', one) and re.search(r"г-жа [А-Я][а-я]+ [А-Я][а-я]+", one)
+    for kind in (r"\S+@[\w.]+", r"\d+\.\d+\.\d+\.\d+", r"\+1 \(\d+\) \d+-\d+"):
+        before = [re.findall(kind, t) for i, t in rows if i >= 100]
+        after = [re.findall(kind, by[i][0].text) for i, _ in rows if i >= 100]
+        pairs = {(a, b) for x, y in zip(before, after) for a, b in zip(x, y)}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+        assert not {b for _, b in pairs} & {a for a, _ in pairs}
+    again = pii_surrogates.pseudonymise(df.where("doc_id = 5"), "k").collect()
+    assert len(again) == 2 and pii_surrogates.pseudonymise(edge_docs, "k").count() == len(edge_rows)
+    assert pii_surrogates.pseudonymise(empty_docs, "k").count() == 0
+
+
+# Sharding --------------------------------------------------------------------------------------------------------
+
+
+def check_shards(rows, got, shards):
+    assert sorted((r.id is None, r.id or 0, r.size, -1 if r.text_crc32 is None else r.text_crc32) for r in got) == sorted(
+        (i is None, i or 0, len((t or "").encode()) + 8, -1 if t is None else zlib.crc32(t.encode())) for i, t in rows
+    )
+    counts = {}
+    for r in got:
+        counts.setdefault(r.shard, []).append(r.slot)
+    sizes = [len(counts.get(s, [])) for s in range(shards)]
+    assert max(sizes) - min(sizes) <= 1 and all(sorted(v) == list(range(len(v))) for v in counts.values())
+    assert {r.law for r in got} <= {"rows"} and {r.grown_shard for r in got} <= {None}
+
+
+def test_sharding(spark, edge_docs, edge_rows, empty_docs):
+    check_shards(edge_rows, sharding.shard_documents(edge_docs, 4).collect(), 4)
+    check_shards(edge_rows, sharding.shard_documents(edge_docs, 24).collect(), 24)
+    assert sharding.shard_documents(empty_docs).count() == 0
+    rows = [(i, f"text {i % 60}" if i < 240 else f"own {i}") for i in range(480)] + [(1000 + i, "hot") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard_documents(df, 12).collect()
+    check_shards(rows, got, 12)
+    places = {}
+    for r in got:
+        places.setdefault(r.text_crc32, set()).add(r.shard)
+    groups = [len(places[zlib.crc32(f"text {k}".encode())]) for k in range(60)]
+    assert np.mean([g == 1 for g in groups]) > 0.8  # a link of a third of all rows takes four shards at least; small ones stay whole
+    assert len(places[zlib.crc32(b"hot")]) < 12
+
+
+def test_ranks_are_gapless(spark):
+    df = spark.range(1000).selectExpr("id", "id % 3 AS g", "id % 17 AS chunk")
+    got = sharding.ranked_within(df, ["g"], "chunk", ["id"], "at").collect()
+    for g in range(3):
+        assert sorted(r["at"] for r in got if r.g == g) == list(range(sum(r.g == g for r in got)))
