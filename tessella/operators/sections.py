@@ -27,13 +27,16 @@ def heading_pattern(number: str, anywhere: bool = False) -> str:
 def slice_section(text: Column, number: str, following: str | None, most: int = 40_000) -> Column:
     """The text from the section's heading to the next section's, else ``most`` characters; null without a heading."""
 
+    def strip(c: Column) -> Column:
+        return F.regexp_replace(c, r"^\s+|\s+$", "")
+
     def cut(anywhere: bool) -> Column:
         at = F.regexp_instr(text, F.lit(heading_pattern(number, anywhere)))
         rest = F.regexp_replace(F.substr(text, at), rf"^#{{1,6}}[^\n]*?{number_pattern(number)}", "")
         if following is None:
-            return F.when(at > 0, F.trim(F.substring(rest, 1, most)))
+            return F.when(at > 0, strip(F.substring(rest, 1, most)))
         end = F.regexp_instr(rest, F.lit(heading_pattern(following, anywhere)))
-        return F.when(at > 0, F.trim(F.when(end > 0, F.substr(rest, F.lit(1), end - 1)).otherwise(F.substring(rest, 1, most))))
+        return F.when(at > 0, strip(F.when(end > 0, F.substr(rest, F.lit(1), end - 1)).otherwise(F.substring(rest, 1, most))))
 
     return F.coalesce(cut(False), cut(True))
 

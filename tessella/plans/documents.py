@@ -31,11 +31,10 @@ h AS (SELECT page_id, plain, (length(plain) // 2) AS half, CASE page_id % 4 WHEN
 m AS (SELECT page_id, '# Title' || chr(10) || head || substr(plain, 1, half) || chr(10) || '## 4.2 Dosing' || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || substr(plain, half + 1) || CASE WHEN page_id % 3 = 0 THEN chr(10) || '# PŘÍLOHA II' || chr(10) || 'rest' ELSE chr(10) || '# PŘÍLOHA III' || chr(10) || 'rest' END AS md, substr(plain, 1, half) AS part FROM h) """
 
 
-@query("slice_section", _MD + "SELECT page_id, page_id % 4 <> 3 AS found, CASE WHEN page_id % 4 = 3 THEN 0 ELSE length(trim(CASE WHEN page_id % 4 = 2 THEN '. Indications' ELSE ' Indications' END || chr(10) || trim(part || 'x', ''))) - 1 END AS chars FROM m")
+@query("slice_section", _MD + "SELECT page_id, page_id % 4 <> 3 AS found, CASE WHEN page_id % 4 = 3 THEN 0 ELSE length(trim(CASE WHEN page_id % 4 = 2 THEN '. Indications' ELSE ' Indications' END || chr(10) || part)) END AS chars FROM m")
 def slice_section(spark, root):
     text = S.slice_section(F.col("md"), "4.1", "4.2")
-    whole = F.rtrim(text)
-    return markdown(spark, root).select("page_id", text.isNotNull().alias("found"), F.coalesce(F.length(F.regexp_replace(whole, r"\n$", "")), F.lit(0)).cast("long").alias("chars"))
+    return markdown(spark, root).select("page_id", text.isNotNull().alias("found"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"))
 
 
 @query("table_detection", _MD + "SELECT page_id, len(list_filter(string_split(md, chr(10)), lambda x: starts_with(ltrim(x), '|'))) >= 3 AS has_table, len(regexp_extract_all(md, '(?m)^\\|[ \\t:|-]*-[ \\t:|-]*\\|?[ \\t]*$')) AS tables FROM m")
