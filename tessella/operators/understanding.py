@@ -164,6 +164,13 @@ def length_band(a: Column, b: Column) -> Column:
     return F.abs(F.length(a) - F.length(b)) <= F.greatest(F.lit(3), F.floor(F.length(b) / 2))
 
 
+def restore_accents(text: Column, question: Column) -> Column:
+    """Words of ``text`` written as the user wrote them, where only accents or case differ."""
+    own = F.split(question, r"\s+")
+    same = lambda w: F.get(F.filter(own, lambda q: fold(F.regexp_replace(q, r"[.,;:!?]+$", "")) == fold(w)), F.lit(0))
+    return F.array_join(F.transform(F.split(text, r"\s+"), lambda w: F.coalesce(F.regexp_replace(same(w), r"[.,;:!?]+$", ""), w)), " ")
+
+
 @dataclass
 class Route:
     """What a router found in a question."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.python import gestalt_ratio
+from tessella.functions.python import gestalt_ratio, repair_keys
 from tessella.functions.text import SOUNDS, fold, lay_form, phonetic, sql_fold, strength, term_key
 from tessella.operators import normalize as N
 from tessella.operators import predicates as P
@@ -310,6 +310,22 @@ def strip_age_words(spark, root):
     return questions(spark, root).select("o_orderkey", U.without_age(F.col("q")).alias("rest"))
 
 
+@query("restore_accents", f"""WITH q AS (SELECT o_orderkey, {_ASK_SQL} AS q FROM orders), w AS (SELECT o_orderkey, regexp_split_to_array(q, '\\s+') AS own, regexp_split_to_array({sql_fold('q')} || ' lekar', '\\s+') AS t FROM q)
+SELECT o_orderkey, array_to_string(list_transform(t, lambda x: coalesce(list_filter(own, lambda o: {sql_fold('o')} = x)[1], x)), ' ') AS restored FROM w""")
+def restore_accents(spark, root):
+    """The router's plain words take the user's accents again."""
+    plain = F.concat(fold("q"), F.lit(" lekar"))
+    return questions(spark, root).select("o_orderkey", U.restore_accents(plain, F.col("q")).alias("restored"))
+
+
+@query("repair_json_keys")
+def repair_json_keys(spark, root):
+    """Mistyped keys of answers, made of the event types, mapped to the expected ones."""
+    typo = F.concat(F.substring("event_type", 1, 3), F.substring("event_type", 3, 20))
+    e = table(spark, root, "events").select("event_id", F.array("event_type", typo, F.lit("zzz")).alias("given"))
+    return e.select("event_id", F.array_join(repair_keys(["click", "error", "purchase", "signup", "view"])("given"), ",").alias("names"))
+
+
 @query("route_questions")
 def route_questions(spark, root):
     """The rule router over a table of questions."""

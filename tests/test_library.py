@@ -135,6 +135,13 @@ def test_gestalt_and_cover_density(spark):
     assert py.repaired("zp ů sob") == "způsob" and py.repaired("P acienti a Pacienti a pacienti") == "Pacienti a Pacienti a pacienti" and py.repaired(None) is None
 
 
+def test_accents_and_keys(spark):
+    got = one(spark, U.restore_accents(F.col("t"), F.col("q")).alias("x"), t="ryma a kasel deti", q="Mám rýmu, rýma! a Kašel u dětí").x
+    assert got == "rýma a Kašel dětí"
+    df = spark.createDataFrame([(["ucinker", "frekvence"],), (["abc"],), (None,)], "k array<string>")
+    assert [r[0] for r in df.select(py.repair_keys(["ucinek", "frekvence"])("k")).collect()] == [["ucinek", "frekvence"], ["abc"], None]
+
+
 def test_sections(spark):
     v = lambda c, t: one(spark, c.alias("x"), t=t).x
     md = "# T\n## 4.l Indikace\ntext A\n## 4.2 Dávka\nB"
