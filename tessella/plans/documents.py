@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.functions.python import repair_spacing
-from tessella.functions.text import fold, folder_safe, joined_term, registration_base, squeeze, sql_fold, tokens
+from tessella.functions.text import folder_safe, joined_term, registration_base, squeeze, sql_fold, tokens
 from tessella.operators import ages as A
 from tessella.operators import quality as Q
 from tessella.operators import sections as S

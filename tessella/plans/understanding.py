@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.functions.python import gestalt_ratio, repair_keys
 from tessella.functions.text import SOUNDS, fold, lay_form, phonetic, sql_fold, strength, term_key
