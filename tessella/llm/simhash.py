@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import connected_components, documents, drop_table, write_table
+from tessella.llm.common import connected_components, documents, write_table
 
 SEED = 42
 
