@@ -129,7 +129,7 @@ def _next(row, i, x, b):
 
 
 def line_norm(t):
-    return re.sub(r"[^a-z0-9\x80-\U0010ffff]+", " ", t.lower()).strip()
+    return re.sub(" +", " ", re.sub(r"[!-/:-@\[-`{-~\x00-\x1f]+", "", t.lower())).strip(" ")
 
 
 def brute_lines(rows, marks, similarity=0.8, min_chars=20):
