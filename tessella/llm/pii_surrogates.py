@@ -121,31 +121,36 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(digits) - 1), F.lit(0), add)
 
 
-def surrogate(key: str) -> Column:
-    """The surrogate of (entity, canon) at try ``attempt``: a pure function of the key and these three."""
+def draw(todo: DataFrame, key: str) -> DataFrame:
+    """Rows (entity, canon, attempt, fake): the surrogate at that attempt, a pure function of the key and the three.
+
+    What several types need is a column of its own (the keyed numbers ``v``, the mapped ``digits``), so the plan stays small.
+    """
     seed = lambda block: F.sha2(F.concat_ws("\x1f", F.lit(key), "entity", "canon", F.col("attempt").cast("string"), F.lit(block)), 512)
-    digest = F.concat(seed("0"), seed("1"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.conv(F.substring(digest, (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
-    canon, none = F.col("canon"), F.lit(0)
-    no = F.lit(False)
+    rows = todo.withColumn("digest", F.concat(seed("0"), seed("1")))
+    rows = rows.withColumn("v", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: F.conv(F.substring("digest", (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
+    v, canon, entity, none, no = F.col("v"), F.col("canon"), F.col("entity"), F.lit(0), F.lit(False)
     local, domain = F.regexp_extract("canon", "^(.*)@", 1), F.regexp_extract("canon", "@(.*)$", 1)
     labels = F.regexp_extract(domain, r"^(.*?)(?:[^.]+\.)?[^.]+$", 1)  # what stands before the registered name
-    email = F.concat(_mapped(local, v, none, no), F.lit("@"), _mapped(labels, F.reverse(v), none, no), _pick(["example.com", "example.org", "example.net"], _at(v, F.lit(126))))
+    keep = F.when(entity == "card", 1).when(entity == "phone", F.greatest(F.length("canon") - 10, none)).when(entity == "iban", 2).otherwise(none)
+    hexes = (entity == "secret") & canon.rlike("^[0-9a-f]+$")
+    rows = rows.withColumn("head", F.when(entity == "email", local).otherwise(canon)).withColumn("keep", keep).withColumn("hexes", hexes)
+    rows = rows.withColumn("mapped", _mapped(F.col("head"), v, F.col("keep"), F.col("hexes")))
+    rows = rows.withColumn("sub", F.when(entity == "email", _mapped(labels, F.reverse(v), none, no)).otherwise(""))
+    body = F.concat(F.substring("mapped", F.lit(1), F.length("mapped") - 1), F.lit("0"))
+    rows = rows.withColumn("check", F.when(entity == "card", F.when(_luhn(canon) % 10 == 0, (10 - _luhn(body) % 10) % 10)))
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_at(v, i) % 254 + 1).cast("string")), ".")
-    digits = _mapped(canon, v, F.when(F.col("entity") == "card", 1).when(F.col("entity") == "phone", F.greatest(F.length("canon") - 10, none)).otherwise(none), no)
-    body = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), F.lit("0"))
-    checked = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), ((10 - _luhn(body) % 10) % 10).cast("string"))
-    card = F.when(_luhn(canon) % 10 == 0, checked).otherwise(digits)
-    out = F.when(F.col("entity") == "email", email).when(F.col("entity") == "ip", ip).when(F.col("entity") == "card", card).when(F.col("entity").isin("phone", "ssn"), digits)
-    out = out.when(F.col("entity") == "iban", _mapped(canon, v, F.lit(2), no)).when(F.col("entity") == "secret", _mapped(canon, v, none, canon.rlike("^[0-9a-f]+$")))
+    email = F.concat("mapped", F.lit("@"), "sub", _pick(["example.com", "example.org", "example.net"], _at(v, F.lit(126))))
+    card = F.when(F.col("check").isNull(), F.col("mapped")).otherwise(F.concat(F.substring("mapped", F.lit(1), F.length("mapped") - 1), F.col("check").cast("string")))
+    out = F.when(entity == "email", email).when(entity == "ip", ip).when(entity == "card", card).when(entity.isin("phone", "ssn", "iban", "secret"), F.col("mapped"))
     for script, parts in SYLLABLES.items():
         family = F.initcap(F.concat(*[_pick(parts, _at(v, F.lit(i))) for i in range(4)]))
-        out = out.when(F.col("entity") == f"surname_{script}", family)
+        out = out.when(entity == f"surname_{script}", family)
         for gender, end in (("f", {"latin": "na", "cyrillic": "на"}), ("m", {"latin": "n", "cyrillic": "н"})):
             made = F.initcap(F.concat(*[_pick(parts, _at(v, F.lit(i))) for i in range(3)], F.lit(end[script])))
             listed = _pick(GIVEN[gender, script], _at(v, F.lit(9)))
-            out = out.when(F.col("entity") == f"given_{gender}_{script}", F.when(F.col("attempt") < 3, listed).otherwise(made))
-    return out
+            out = out.when(entity == f"given_{gender}_{script}", F.when(F.col("attempt") < 3, listed).otherwise(made))
+    return rows.select("entity", "canon", "attempt", out.alias("fake"))
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
@@ -158,15 +163,17 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     real = todo.select("entity", F.col("canon").alias("fake"))
     done: DataFrame | None = None
     while not todo.isEmpty():
-        drawn = write_table(todo.withColumn("fake", surrogate(key)), "pii-drawn")
+        drawn = write_table(draw(todo, key), "pii-drawn")
         first = drawn.groupBy("entity", "fake").agg(F.min("canon").alias("canon")).join(real, ["entity", "fake"], "left_anti")
         if done is not None:
             first = first.join(done.select("entity", "fake"), ["entity", "fake"], "left_anti")
-        good = write_table(first.select("entity", "canon", "fake"), "pii-done")
-        rest = drawn.join(good, ["entity", "canon"], "left_anti").select("entity", "canon", (F.col("attempt") + 1).alias("attempt"))
+        good = first.select("entity", "canon", "fake")
+        before, done = done, write_table(good if done is None else done.unionByName(good), "pii-done")
+        rest = drawn.join(done.select("entity", "canon"), ["entity", "canon"], "left_anti").select("entity", "canon", (F.col("attempt") + 1).alias("attempt"))
         todo = write_table(rest, "pii-todo")
         drop_table(drawn)
-        done = good if done is None else done.unionByName(good)
+        if before is not None:
+            drop_table(before)
     return done if done is not None else real.select("entity", F.col("fake").alias("canon"), "fake")
 
 
