@@ -161,9 +161,10 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     """
     todo = write_table(entities.select("entity", "canon").distinct().withColumn("attempt", F.lit(0)), "pii-todo")
     real = todo.select("entity", F.col("canon").alias("fake"))
+    tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work
     done: DataFrame | None = None
     while not todo.isEmpty():
-        drawn = write_table(draw(todo, key), "pii-drawn")
+        drawn = write_table(draw(todo.repartition(tasks, "canon"), key), "pii-drawn")
         first = drawn.groupBy("entity", "fake").agg(F.min("canon").alias("canon")).join(real, ["entity", "fake"], "left_anti")
         if done is not None:
             first = first.join(done.select("entity", "fake"), ["entity", "fake"], "left_anti")
