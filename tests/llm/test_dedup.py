@@ -143,7 +143,7 @@ def brute_lines(rows, marks, similarity=0.8, min_chars=20):
 
     links = []
     for x, y in combinations(texts, 2):
-        if (len(x) > line_dedup.LONG) == (len(y) > line_dedup.LONG) and keys(marks[x]) & keys(marks[y]):
+        if (len(x) > line_dedup.LONG) == (len(y) > line_dedup.LONG) and keys(marks[x]) & keys(marks[y]) and bin(marks[x] ^ marks[y]).count("1") <= line_dedup.RADIUS:
             a, b = (x, y) if len(x) <= line_dedup.LONG else (x.split(" "), y.split(" "))
             if edit_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
                 links.append((x, y))
