@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import documents, new_path, write_table
+from tessella.llm.common import documents, new_path
 
 #: A space between two non-space characters always starts a new pre-token of the byte-level tokenizer, so the
 #: pieces between such spaces can be encoded one by one.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r" \s|\s |^\s|\s\Z")
+_RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD = ["  ", *(" " + w for w in "\n\t\r\x0b\x0c"), *(w + " " for w in "\n\t\r\x0b\x0c")]
+
+
+def plainly_spaced(text: str) -> bool:
+    """Whether every space of a non-empty text stands between two non-space characters."""
+    return not (text[0].isspace() or text[-1].isspace() or any(odd in text for odd in _ODD) or _RARE_SPACE.search(text))
+
 
 #: The file format: pages of some thousand rows with column and offset indexes, delta coding for numbers.
 FORMAT = {
@@ -33,43 +41,84 @@ FORMAT = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 
-_tokenizers: dict[str, object] = {}
+_encoders: dict[str, PieceEncoder] = {}
+#: fixed values: the byte-level alphabet writes bytes that aren't printable Latin-1 as characters from U+0100 on
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_TAIL = ".,!?;:*#$%&|"
 
 
 def load_tokenizer(path: str):
-    """The tokenizer, once per worker; text that looks like a special token is ordinary text."""
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _tokenizers[path] = tokenizer
-    return _tokenizers[path]
+    """The tokenizer; text that looks like a special token is ordinary text."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    return tokenizer
+
+
+class _Pieces(dict):
+    """Piece -> its ids as bytes; what is missing is encoded, and kept while there is room."""
+
+    def __init__(self, tokenizer, before: str, most: int):
+        super().__init__()
+        self.tokenizer, self.model, self.before, self.most = tokenizer, tokenizer.model, before, most
+        self.tails = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        if piece.isalpha() and self.before:
+            out = self._word(piece)
+        else:
+            core = piece.rstrip(_TAIL)
+            if core != piece and core and core[-1].isalnum():  # marks after a letter or digit are a pre-token of their own
+                tail = self.tails.get(piece[len(core) :])
+                if tail is None:
+                    tail = self.tails[piece[len(core) :]] = self._ids(self.tokenizer.encode(piece[len(core) :], add_special_tokens=False).ids)
+                out = self.get(core)
+                if out is None:
+                    out = self._word(core) if core.isalpha() and self.before else self[core]
+                out += tail
+            else:
+                out = self._ids(self.tokenizer.encode(self.before + piece, add_special_tokens=False).ids)
+        if len(self) < self.most:
+            self[piece] = out
+        return out
+
+    def _word(self, word: str) -> bytes:
+        """A word of letters after a space is one pre-token: the model alone, in its own alphabet."""
+        if not word.isascii():
+            if max(word) > "\u00ff":
+                return self._ids(self.tokenizer.encode(" " + word, add_special_tokens=False).ids)
+            word = word.encode().decode("latin-1").translate(_BYTES)
+        return self._ids([t.id for t in self.model.tokenize("\u0120" + word)])
+
+    @staticmethod
+    def _ids(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, "<u4").tobytes()
 
 
 class PieceEncoder:
-    """Encodes texts with the tokenizer, each distinct space-delimited piece once while it stays in the cache."""
+    """Encodes texts with the tokenizer, a space-delimited piece once while it is in the worker's bounded cache."""
 
     def __init__(self, path: str, most: int = 400_000):
-        self.tokenizer, self.most, self.cache = load_tokenizer(path), most, {}
-
-    def pieces(self, text: str) -> list[str]:
-        parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]] if text else []
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        split = [self.pieces(t) for t in texts]
-        if len(self.cache) > self.most:
-            self.cache.clear()
-        new = list(set(chain.from_iterable(split)).difference(self.cache))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[piece] = np.array(e.ids, "<i4").tobytes()
-        known = self.cache
-        return [b"".join([known[p] for p in s]) for s in split]
+        tokenizer = load_tokenizer(path)
+        self.first, self.later = _Pieces(tokenizer, "", most // 10), _Pieces(tokenizer, " ", most)
+
+    def encode(self, text: str) -> bytes:
+        """Ids of one whole text as little-endian 32-bit integers."""
+        if not text:
+            return b""
+        parts = text.split(" ") if plainly_spaced(text) else _CUT.split(text)
+        first = self.first[parts[0]]
+        return first + b"".join(map(self.later.__getitem__, parts[1:]))
+
+
+def encoder(path: str) -> PieceEncoder:
+    """One encoder per worker process and tokenizer file."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None) -> None:
@@ -82,12 +131,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, chunk, at = PieceEncoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, chunk, at = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<i4").tobytes()
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
-                encoded = [e + end for e in encoder.encode([t or "" for t in batch.column(1).to_pylist()])]
+                encoded = [encode(t.as_py() or "") + end for t in batch.column(1)]
                 sizes = np.fromiter((len(e) // 4 for e in encoded), np.int64, len(encoded))
                 ends = np.cumsum(sizes)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
