@@ -180,3 +180,19 @@ def test_line_dedup(spark):
 
 def spark_hash(word):
     return xxhash.xxh64_intdigest(word.encode(), 42)
+
+
+def test_line_recall_against_edit_similarity(spark):
+    """Links against edit similarity alone: one word swapped in each copy of lines of 15 to 53 words."""
+    r, families = np.random.default_rng(3), []
+    for f in range(20):
+        words = prose(1000 + f, 15 + 2 * f).split()
+        families.append([" ".join([*words[:k], prose(int(r.integers(1 << 30)), 1), *words[k + 1 :]]) for k in r.choice(len(words), 3, replace=False)])
+    pairs = [(x, y) for g in families for x, y in combinations(g, 2) if edit_distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)]
+    lines = spark.createDataFrame([(t, t) for g in families for t in g], "line string, norm string").repartition("line")
+    got = {g.line: g.component for g in line_dedup.line_groups(lines, 0.8, tables=line_dedup.TABLES).collect()}
+    found = sum(x in got and got[x] == got.get(y) for x, y in pairs)
+    assert len(pairs) >= 50 and found >= 0.95 * len(pairs), (found, len(pairs))
+    got = {g.line: g.component for g in line_dedup.line_groups(lines, 0.8).collect()}  # blocks alone
+    blocks = sum(x in got and got[x] == got.get(y) for x, y in pairs)
+    assert blocks < found, (blocks, found, len(pairs))
