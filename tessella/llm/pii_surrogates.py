@@ -34,13 +34,14 @@ PATTERNS = {
     "name": NAME,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+MAYBE = rf"[0-9@]|{FEMALE}|{MALE}|(?i:token|passw|pwd|secret|key)"  #: some part of every entity
 _SECRET_HEAD = r"^(.*?[=:]\s{0,3}[\"']?)(.*)$"
 
 
 def find_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, row, pos, hit): the entity strings of each text in order; ``row`` is a hash of the text."""
     text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).where("text RLIKE '[0-9@]' OR text RLIKE '(?i)(token|passw|pwd|secret|key|m[rs]|miss|frau|herr|se[ñ]or|monsieur|madame|mme|г)'")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("row"), text.alias("text")).where(F.col("text").rlike(MAYBE))
     hits = rows.select("id", "row", F.posexplode(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("pos", "hit"))
     return hits
 

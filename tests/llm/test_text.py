@@ -306,3 +306,11 @@ def test_ranks_are_gapless(spark):
     got = sharding.ranked_within(df, ["g"], "chunk", ["id"], "at").collect()
     for g in range(3):
         assert sorted(r["at"] for r in got if r.g == g) == list(range(sum(r.g == g for r in got)))
+
+
+def test_titles_pass_the_prefilter(spark):
+    titles = f"{pii_surrogates.FEMALE}|{pii_surrogates.MALE}".split("|")
+    names = [f"{t} Ирина" if t[0] > "z" else f"{t} Pérez" for t in titles]  # no digit, @ or other listed word
+    df = spark.createDataFrame([(i, f"La {n} vino.") for i, n in enumerate(names)], "doc_id long, text string")
+    got = {r.id: r.hit for r in pii_surrogates.find_entities(df, "doc_id", "text").collect()}
+    assert got == dict(enumerate(names))
