@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -12,10 +13,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; in local mode, where one process does all, an own one if that is unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tessella-shared-")
@@ -45,6 +48,12 @@ def drop_table(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of plans that nothing refers to any more (it acts on the driver's garbage collection)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -55,7 +64,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Alternates large-star and small-star steps until the edge set no longer changes; each step is a
     grouped minimum (combined on the map side) and an equi-join that adaptive execution can split, so
     a hub of any degree stays distributed. Every round is written to the shared folder. Nodes without
-    edges, self loops and edges with a null end don't appear in the result.
+    edges, self loops and edges with a null end don't appear in the result, which is a written table.
     """
     now = write_table(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v AND isnotnull(u) AND isnotnull(v)").distinct(), "edges"
@@ -73,6 +82,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         before, now = now, write_table(small.distinct(), "edges")
         drop_table(before)
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+    parts = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+    out = write_table(parts, "components")
+    drop_table(now)
+    return out
