@@ -236,7 +236,7 @@ def test_line_blocks_by_definition(spark):
     lines = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "line long, norm string").repartition("line")
     got = {}
     for r in line_dedup.line_blocks(lines).collect():
-        got.setdefault(r.line, []).append((r.odd, r.n))
+        got.setdefault(r.line, []).append((r.mark % 2 == 1, r.mark // 16 % 128))
     for k, t in enumerate(texts):
         words, want = set(t.split(" ")), []
         for bits in {max(0, int(np.floor(np.log2(len(words) * f / line_dedup.CLASS_WORDS)))) for f in (1, 1.25)}:
