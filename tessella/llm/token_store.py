@@ -20,13 +20,13 @@ from tessella.llm.common import documents, new_path
 #: A space between two non-space characters always starts a new pre-token of the byte-level tokenizer, so the
 #: pieces between such spaces can be encoded one by one.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_ODD = ["  ", *(" " + w for w in "\n\t\r\x0b\x0c"), *(w + " " for w in "\n\t\r\x0b\x0c")]
+_RARE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_ODD = ["  ", *(" " + w for w in "\n\t\r\x0b\x0c"), *(w + " " for w in "\n\t\r\x0b\x0c"), *"\x1c\x1d\x1e\x1f"]
 
 
 def plainly_spaced(text: str) -> bool:
     """Whether every space of a non-empty text stands between two non-space characters."""
-    return not (text[0].isspace() or text[-1].isspace() or any(odd in text for odd in _ODD) or _RARE_SPACE.search(text))
+    return not (text[0].isspace() or text[-1].isspace() or any(odd in text for odd in _ODD) or (not text.isascii() and _RARE_SPACE.search(text)))
 
 
 #: The file format: pages of some thousand rows with column and offset indexes, delta coding for numbers.
@@ -49,13 +49,11 @@ _TAIL = ".,!?;:*#$%&|"
 
 
 def load_tokenizer(path: str):
-    """The tokenizer; text that looks like a special token is ordinary text."""
+    """The tokenizer as the library loads it: an added token's string in a text is that token."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 class _Pieces(dict):
@@ -65,8 +63,13 @@ class _Pieces(dict):
         super().__init__()
         self.tokenizer, self.model, self.before, self.most = tokenizer, tokenizer.model, before, most
         self.tails = {}
+        self.starts, self.feed = self, self._ids(tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def __missing__(self, piece: str) -> bytes:
+        if "\n" in piece:
+            lines = piece.split("\n")
+            if all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):  # a line feed between other characters is a pre-token
+                return self.feed.join([self[lines[0]], *map(self.starts.__getitem__, lines[1:])])
         if piece.isalpha() and self.before:
             out = self._word(piece)
         else:
@@ -102,13 +105,17 @@ class PieceEncoder:
     """Encodes texts with the tokenizer, a space-delimited piece once while it is in the worker's bounded cache."""
 
     def __init__(self, path: str, most: int = 400_000):
-        tokenizer = load_tokenizer(path)
-        self.first, self.later = _Pieces(tokenizer, "", most // 10), _Pieces(tokenizer, " ", most)
+        self.tokenizer = load_tokenizer(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.first, self.later = _Pieces(self.tokenizer, "", most // 4), _Pieces(self.tokenizer, " ", most)
+        self.first.starts = self.later.starts = self.first
 
     def encode(self, text: str) -> bytes:
         """Ids of one whole text as little-endian 32-bit integers."""
         if not text:
             return b""
+        if any(a in text for a in self.added):  # added tokens may hold or touch spaces: the library takes the whole text
+            return _Pieces._ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
         parts = text.split(" ") if plainly_spaced(text) else _CUT.split(text)
         first = self.first[parts[0]]
         return first + b"".join(map(self.later.__getitem__, parts[1:]))
