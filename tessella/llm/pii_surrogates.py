@@ -26,6 +26,8 @@ NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{FEMALE}|{MALE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{L
 PATTERNS = {
     "secret": r"(?<![\p{L}\p{N}])(?i:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_\-]{8,}+",
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}",
+    "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,48}+)(?![\p{L}\p{N}])",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
     "ip": r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
@@ -34,7 +36,7 @@ PATTERNS = {
     "name": NAME,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-MAYBE = rf"[0-9@]|{FEMALE}|{MALE}|(?i:token|passw|pwd|secret|key)"  #: some part of every entity
+MAYBE = rf"[0-9@]|AKIA|sk-|gh[pousr]_|(?:[A-Fa-f]+:){{7}}|{FEMALE}|{MALE}|(?i:token|passw|pwd|secret|key)"  #: some part of every entity
 _SECRET_HEAD = r"^(.*?[=:]\s{0,3}[\"']?)(.*)$"
 
 
@@ -70,7 +72,9 @@ def entities_of(hits: DataFrame) -> DataFrame:
     plain = kind.where("kind != 'name'").select(
         "hit", "kind", F.lit(0).alias("part"), F.col("kind").alias("entity"),
         F.when(F.col("kind") == "email", F.lower("hit"))
-        .when(F.col("kind").isin("card", "ssn", "phone"), digits)
+        .when(F.col("kind") == "phone", F.right(digits, F.lit(10)))  # with or without the country code, one number
+        .when(F.col("kind").isin("card", "ssn"), digits)
+        .when(F.col("kind") == "ipv6", F.lower("hit"))
         .when(F.col("kind") == "iban", F.regexp_replace("hit", " ", ""))
         .when(F.col("kind") == "secret", F.regexp_extract("hit", _SECRET_HEAD, 2))
         .otherwise(h).alias("canon"),
@@ -133,22 +137,28 @@ def draw(todo: DataFrame, key: str) -> DataFrame:
     v, canon, entity, none, no = F.col("v"), F.col("canon"), F.col("entity"), F.lit(0), F.lit(False)
     local, domain = F.regexp_extract("canon", "^(.*)@", 1), F.regexp_extract("canon", "@(.*)$", 1)
     labels = F.regexp_extract(domain, r"^(.*?)(?:[^.]+\.)?[^.]+$", 1)  # what stands before the registered name
-    keep = F.when(entity == "card", 1).when(entity == "phone", F.greatest(F.length("canon") - 10, none)).when(entity == "iban", 2).otherwise(none)
-    hexes = (entity == "secret") & canon.rlike("^[0-9a-f]+$")
+    keep = F.when(entity == "card", 1).when(entity == "iban", 2).when(entity == "key", 4).otherwise(none)
+    hexes = ((entity == "secret") & canon.rlike("^[0-9a-f]+$")) | (entity == "ipv6")
+    # every fourth attempt makes surrogates of free length longer, every 32nd those of a fixed format, so no space of values is used up
+    longer, beyond = F.floor(F.col("attempt") / 4).cast("int"), F.floor(F.col("attempt") / 32).cast("int")
+    letters = lambda n: F.array_join(F.transform(F.slice(v, F.lit(20), n), lambda x: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), x % 26 + 1, F.lit(1))), "")
+    figures = F.array_join(F.transform(F.slice(v, F.lit(20), beyond), lambda x: (x % 10).cast("string")), "")
     rows = rows.withColumn("head", F.when(entity == "email", local).otherwise(canon)).withColumn("keep", keep).withColumn("hexes", hexes)
     rows = rows.withColumn("mapped", _mapped(F.col("head"), v, F.col("keep"), F.col("hexes")))
     rows = rows.withColumn("sub", F.when(entity == "email", _mapped(labels, F.reverse(v), none, no)).otherwise(""))
     body = F.concat(F.substring("mapped", F.lit(1), F.length("mapped") - 1), F.lit("0"))
     rows = rows.withColumn("check", F.when(entity == "card", F.when(_luhn(canon) % 10 == 0, (10 - _luhn(body) % 10) % 10)))
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_at(v, i) % 254 + 1).cast("string")), ".")
-    email = F.concat("mapped", F.lit("@"), "sub", _pick(["example.com", "example.org", "example.net"], _at(v, F.lit(126))))
+    email = F.concat("mapped", letters(longer), F.lit("@"), "sub", _pick(["example.com", "example.org", "example.net"], _at(v, F.lit(126))))
     card = F.when(F.col("check").isNull(), F.col("mapped")).otherwise(F.concat(F.substring("mapped", F.lit(1), F.length("mapped") - 1), F.col("check").cast("string")))
-    out = F.when(entity == "email", email).when(entity == "ip", ip).when(entity == "card", card).when(entity.isin("phone", "ssn", "iban", "secret"), F.col("mapped"))
+    out = F.when(entity == "email", email).when(entity == "ip", F.concat(ip, figures)).when(entity == "card", F.concat(card, figures))
+    out = out.when(entity.isin("phone", "ssn", "iban", "secret", "key", "ipv6"), F.concat("mapped", figures))
     for script, parts in SYLLABLES.items():
-        family = F.initcap(F.concat(*[_pick(parts, _at(v, F.lit(i))) for i in range(4)]))
+        more = F.array_join(F.transform(F.slice(v, F.lit(40), longer), lambda x: F.element_at(F.array(*[F.lit(p) for p in parts]), x % len(parts) + 1)), "")  # noqa: B023
+        family = F.initcap(F.concat(*[_pick(parts, _at(v, F.lit(i))) for i in range(4)], more))
         out = out.when(entity == f"surname_{script}", family)
         for gender, end in (("f", {"latin": "na", "cyrillic": "на"}), ("m", {"latin": "n", "cyrillic": "н"})):
-            made = F.initcap(F.concat(*[_pick(parts, _at(v, F.lit(i))) for i in range(3)], F.lit(end[script])))
+            made = F.initcap(F.concat(*[_pick(parts, _at(v, F.lit(i))) for i in range(3)], more, F.lit(end[script])))
             listed = _pick(GIVEN[gender, script], _at(v, F.lit(9)))
             out = out.when(entity == f"given_{gender}_{script}", F.when(F.col("attempt") < 3, listed).otherwise(made))
     return rows.select("entity", "canon", "attempt", out.alias("fake"))
@@ -180,14 +190,15 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
 
 
 def _poured(hit: Column, digits: Column) -> Column:
-    """The characters of ``digits`` put in the places of the letters and digits of ``hit``."""
+    """The characters of ``digits`` put in the places of the letters and digits of ``hit``; what has no place follows."""
     chars = F.split(hit, "")
 
     def one(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(hit, F.lit(1), (i + 1).cast("int")), r"[^A-Za-z0-9]", ""))
         return F.when(c.rlike("^[A-Za-z0-9]$"), F.substring(digits, before.cast("int"), F.lit(1))).otherwise(c)
 
-    return F.array_join(F.transform(chars, one), "")
+    places = F.length(F.regexp_replace(hit, r"[^A-Za-z0-9]", ""))
+    return F.concat(F.array_join(F.transform(chars, one), ""), F.substring(digits, places + 1, F.length(digits)))
 
 
 def replacements(hits: DataFrame, key: str) -> DataFrame:
@@ -196,8 +207,11 @@ def replacements(hits: DataFrame, key: str) -> DataFrame:
     named = parts.join(assign(parts, key), ["entity", "canon"])
     fakes = named.groupBy("hit", "kind").agg(F.array_sort(F.collect_list(F.struct("part", "fake"))).alias("fakes"))  # one or two per string
     fake = F.element_at("fakes", 1)["fake"]
+    digits = F.regexp_replace("hit", r"\D", "")
+    before = F.substring(digits, F.lit(1), F.greatest(F.length(digits) - 10, F.lit(0)))  # a phone's country code stays
     new = (
-        F.when(F.col("kind").isin("card", "phone", "ssn", "iban"), _poured(F.col("hit"), fake))
+        F.when(F.col("kind") == "phone", _poured(F.col("hit"), F.concat(before, fake)))
+        .when(F.col("kind").isin("card", "ssn", "iban"), _poured(F.col("hit"), fake))
         .when(F.col("kind") == "secret", F.concat(F.regexp_extract("hit", _SECRET_HEAD, 1), fake))
         .when(F.col("kind") == "name", F.concat(F.regexp_extract("hit", r"^(\S+ )", 1), F.array_join(F.transform("fakes", lambda x: x["fake"]), " ")))
         .otherwise(fake)
@@ -208,6 +222,7 @@ def replacements(hits: DataFrame, key: str) -> DataFrame:
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every detected entity in the text column replaced, plus ``n_replaced``.
 
+    When the surrogates of a format are used up, they get longer (letters, syllables or digits), so every thing gets its own.
     The same thing gets the same surrogate in all documents, different things of a type different ones; numbers keep their
     separators, cards their first digit and Luhn validity, phones what precedes their last ten digits, names the
     gender of their title and their script. Defined results: a null text stays null, a text without
@@ -215,7 +230,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     ids are handled like others; an empty table gives no rows; other columns stay, whatever their names.
     """
     hits = write_table(find_entities(docs, id_col, text_col), "pii-hits")
-    new = hits.join(replacements(hits, key), "hit").select("id", "row", "pos", "new").distinct()
+    new = hits.join(write_table(replacements(hits, key), "pii-new"), "hit").select("id", "row", "pos", "new").distinct()
     per_row = new.groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("news"))  # the entities of one text
     per_row = per_row.select(F.col("id").alias("hit_id"), F.col("row").alias("hit_row"), F.transform("news", lambda x: x["new"]).alias("news"))
     inner = [f"c{i}" for i in range(len(docs.columns))]
