@@ -150,7 +150,7 @@ def encode_words(words: DataFrame, model: PieceModel) -> DataFrame:
 class WordEncoder:
     """The same segmentations inside a task: a bounded table of solved words, and the fold itself for the others."""
 
-    def __init__(self, model: PieceModel, table: dict[str, bytes], most: int = 300_000):
+    def __init__(self, model: PieceModel, table: dict[str, bytes], most: int = 600_000):
         self.model, self.table, self.most = model, dict(table), most + len(table)
 
     def _fallback(self, span: str) -> list[int]:
@@ -167,16 +167,16 @@ class WordEncoder:
     def _merge(self, word: str) -> list[str]:
         scores, parts = self.model.scores, list(word)
         if len(parts) <= 40:
-            while len(parts) > 1:
-                best = None
-                for i in range(len(parts) - 1):
-                    hit = scores.get(parts[i] + parts[i + 1])
-                    if hit and (best is None or hit[0] > best[0]):
-                        best = hit[0], i
-                if best is None:
-                    break
-                i = best[1]
+            none = (float("-inf"), 0)
+            gain = [scores.get(x + y, none)[0] for x, y in zip(parts, parts[1:])]
+            while gain and (best := max(gain)) > none[0]:
+                i = gain.index(best)  # the leftmost
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del gain[i]
+                if i:
+                    gain[i - 1] = scores.get(parts[i - 1] + parts[i], none)[0]
+                if i < len(gain):
+                    gain[i] = scores.get(parts[i] + parts[i + 1], none)[0]
             return parts
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         heap: list[tuple[float, int, str]] = []
@@ -270,8 +270,8 @@ def frequent_words(counts: DataFrame, most: int, longest: int) -> DataFrame:
     return some.where(F.col("n") >= least).select("word")
 
 
-def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = 150_000, table_longest: int = 32) -> DataFrame:
-    """Rows (id, ids, decoded), one per row of ``docs``: the piece ids of every whole text, and the text they decode to.
+def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = 150_000, table_longest: int = 32, decoded: bool = True) -> DataFrame:
+    """Rows (id, ids[, decoded]), one per row of ``docs``: the piece ids of every whole text, and the text they decode to.
 
     Frequent words (at most ``table_words``, which bounds what is broadcast) are segmented once by the lattice: substrings
     exploded, joined to the piece table, grouped by word and folded. Words outside that table are folded
@@ -285,12 +285,15 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     drop_table(counts)
     helper = WordEncoder(model, {}, 0)
     table = {}
-    solved = write_table(encode_words(chosen.repartition("word"), model), "word-ids")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    solved = write_table(encode_words(chosen.repartition(tasks, "word"), model), "word-ids")  # few bytes, much work
     for r in solved.toLocalIterator():  # bounded by table_words
         ids = []
         for i, a, b in zip(r.ids, r.bounds, r.bounds[1:]):
             ids += [i] if i >= 0 else helper._fallback(r.word[a:b])
         table[r.word] = np.array(ids, "<i4").tobytes()
+    drop_table(chosen)
+    drop_table(solved)
     shared = spark.sparkContext.broadcast((model, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,11 +305,11 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 encoded = [encoder.encode(t.as_py() or "") for t in batch.column(1)]
                 ends = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
-                texts = pa.array([decode(model, np.frombuffer(e, "<i4").tolist()) for e in encoded], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), ids, texts], names=["id", "ids", "decoded"])
+                texts = [pa.array([decode(model, np.frombuffer(e, "<i4").tolist()) for e in encoded], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, *texts], names=["id", "ids", "decoded"][: 2 + len(texts)])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, ids array<int>, decoded string")
+    return rows.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, ids array<int>{', decoded string' * decoded}")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
