@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import connected_components, documents, write_table
+from tessella.llm.common import connected_components, documents, drop_table, write_table
 
 SEED = 42
 
@@ -161,6 +161,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = write_table(marks.groupBy("fp").agg(F.min("id").alias("rep")), "distinct-fingerprints")
     parts = connected_components(links(distinct.where("rep IS NOT NULL"), radius, pairwise), "a", "b")
     known = distinct.join(parts, distinct.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    known = write_table(known, "known-fingerprints")
+    drop_table(parts)
+    drop_table(distinct)
     return marks.join(known, "fp").select("id", "fp", "component_id")
 
 
