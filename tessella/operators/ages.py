@@ -68,3 +68,19 @@ def minimum_age(evidence: DataFrame, key: str) -> DataFrame:
     child_yes, child_ban = F.coalesce("child_yes", F.lit(False)), F.coalesce("child_ban", F.lit(False))
     unknown = F.when(child_ban, F.lit(False)).when(child_yes, F.lit(True))
     return g.select(key, F.round(age, 2).alias("age_from"), F.when(age.isNull(), unknown).otherwise((age < 18) | (child_yes & ~child_ban)).alias("for_children"))
+
+
+def child_only(names: DataFrame, doses: DataFrame, key: str) -> DataFrame:
+    """(key, child_only, reason): products for children only, by their name, or by doses for children and none for others.
+
+    ``names`` has (key, name), ``doses`` (key, position, kind, lo, hi, patient), doses of another form left out. A dose without an
+    age, or one that reaches adulthood, is for adults too; a group that starts below twelve is children's.
+    """
+    given = doses.where("kind = 'yes'")
+    grown = F.col("lo").isNull() | F.col("hi").isNull() | (F.col("hi") > 18)
+    child = F.when(F.col("lo") < 12, F.struct("position", "patient"))
+    g = given.groupBy(key).agg(F.bool_or(grown).alias("adult"), F.min(child).alias("child"))
+    by_name = F.coalesce(fold(F.col("name")).rlike(CHILD_NAME), F.lit(False))
+    by_dose = F.coalesce(~F.col("adult"), F.lit(False)) & F.col("child").isNotNull()
+    reason = F.when(by_name, F.concat(F.lit("name: "), F.substring("name", 1, 40))).when(by_dose, F.concat(F.lit("doses for children only: "), F.substring("child.patient", 1, 60))).otherwise("")
+    return names.join(g, key, "left").select(key, (by_name | by_dose).alias("child_only"), reason.alias("reason"))

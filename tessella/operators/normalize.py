@@ -87,12 +87,21 @@ def significant(text: Column) -> Column:
     return F.array_except(F.array_distinct(F.filter(words, lambda w: F.length(w) > 2)), F.array(*[F.lit(w) for w in FILLER]))
 
 
+def word_starts(text: Column) -> Column:
+    """What support is looked up in: the significant words of a source and their first four letters, as one array."""
+    return F.transform(F.array(significant(text)), lambda s: F.array_distinct(F.concat(s, F.transform(s, lambda z: F.concat(F.lit("^"), F.substring(z, 1, 4))))))[0]
+
+
+def supported(words: Column, starts: Column, least: float = 0.5) -> Column:
+    """At least half of a key's significant words are in a source's ``word_starts``: by their first four letters, three-letter words as they are."""
+    wanted = F.transform(words, lambda w: F.when(F.length(w) >= 4, F.concat(F.lit("^"), F.substring(w, 1, 4))).otherwise(w))
+    hits = F.size(F.filter(wanted, lambda w: F.array_contains(starts, w)))
+    return F.coalesce((F.size(words) > 0) & (hits >= least * F.size(words)), F.lit(False))
+
+
 def has_support(key: Column, source: Column, least: float = 0.5) -> Column:
-    """At least half of the key's words occur in the source: by their first four letters, three-letter words as they are."""
-    k, s = significant(key), significant(source)
-    starts = F.array_distinct(F.transform(s, lambda z: F.substring(z, 1, 4)))
-    hits = F.size(F.filter(k, lambda w: F.when(F.length(w) >= 4, F.array_contains(starts, F.substring(w, 1, 4))).otherwise(F.array_contains(s, w))))
-    return F.coalesce((F.size(k) > 0) & (hits >= least * F.size(k)), F.lit(False))
+    """``supported`` of two texts."""
+    return supported(significant(key), word_starts(source), least)
 
 
 def numbers(text: Column) -> Column:

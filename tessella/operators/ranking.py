@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.text import fold
-from tessella.functions.vectors import best_cosine, cosine, vector
+from tessella.functions.vectors import best_cosine
+from tessella.operators.predicates import SearchFilter
 
 SEMANTIC_WEIGHT, RRF_K, EXACT = 0.8, 60, 0.9995
 SEMANTIC_CAP, LEXICAL_CAP = 100, 1000
@@ -54,18 +56,77 @@ def fuse(semantic: DataFrame, lexical: DataFrame, id_col: str) -> DataFrame:
     return semantic.join(lexical, id_col, "full").withColumn("rrf", rrf(F.col("sem_rank"), F.col("lex_rank")))
 
 
-def hybrid(rows: DataFrame, id_col: str, vec: str, text: str, query_vec: Sequence[float], terms: Sequence[str], limit: int, threshold: float | None = None) -> DataFrame:
-    """Hybrid search over filtered rows: scores are taken once over narrow rows, both leaderboards are fused, wide columns join last."""
-    scored = rows.select(id_col, cosine(F.col(vec), vector(query_vec)).alias("cosine"), term_hits(F.col(text), terms).alias("hits"))
-    fused = fuse(
-        leaderboard(scored, "cosine", id_col, SEMANTIC_CAP, "sem_rank"),
-        leaderboard(scored.where("hits > 0"), "hits", id_col, LEXICAL_CAP, "lex_rank"),
-        id_col,
-    )
-    out = fused.join(scored, id_col)
-    if threshold is not None:
+def search(
+    rows: DataFrame, vectors: DataFrame, flt: SearchFilter, variants: Sequence[Sequence[float]], terms: Sequence[str], *, threshold: float | None = None,
+    groups: int = 10, passages: int = 3, mode: str = "rrf", order: str = "score", forced: Sequence[str] = (), fetch: int | None = None, id_col: str = "doc_id", group: str = "code",
+) -> DataFrame:
+    """The composed search: (group, position, passage, id, cosine, rrf).
+
+    Filters come first (``forced`` sections override the router's). Lexical hits are scored on the scan of texts, the best
+    similarity over the query's variants on the scan of vectors, and only ids and scores meet. Both leaderboards are
+    fused; rows below the threshold go, unless the filter picks rows by identity. ``groups`` times ``passages`` rows and
+    40 more are fetched (or ``fetch``), grouped, and the groups put in ``order``.
+    """
+    if forced:
+        flt = replace(flt, sections=tuple(forced))
+    hits = rows.where(flt.condition()).select(id_col, group, term_hits(F.col("text"), terms).alias("hits"))
+    near = vectors.select(id_col, F.round(best_cosine(F.col("embedding"), None, variants), 12).alias("cosine"))
+    scored = hits.join(near, id_col)
+    fused = fuse(leaderboard(scored, "cosine", id_col, SEMANTIC_CAP, "sem_rank"), leaderboard(scored.where("hits > 0"), "hits", id_col, LEXICAL_CAP, "lex_rank"), id_col)
+    out = fused.select(id_col, F.round("rrf", 15).alias("rrf")).join(scored, id_col)
+    if threshold is not None and not flt.exact:
         out = out.where(F.col("cosine") >= threshold)
-    return out.orderBy(F.desc("rrf"), id_col).limit(limit)
+    best = top(out, "cosine" if mode == "cosine" else "rrf", id_col, fetch or groups * passages + 40)
+    ranked = group_passages(best, group, "cosine", id_col, passages, "rrf")  # a few dozen rows from here on
+    heads = ranked.where("passage = 1").select(group, F.col("cosine").alias("score"), F.col("rrf").alias("second"), F.col(id_col).alias("first_id"))
+    by = [*exact_first(F.col("score"), F.col(group))[:3], F.desc("second"), F.col(group)] if order == "score" else group_order(order, group, "score", "first_id")
+    heads = heads.select(group, F.row_number().over(Window.orderBy(*by)).alias("position")).where(F.col("position") <= groups)
+    return ranked.join(heads, group).select(group, "position", "passage", id_col, "cosine", "rrf")
+
+
+def group_order(kind: str, name: str, similarity: str, first: str) -> list[Column]:
+    """Orders of groups besides that by score: by name, by similarity of the name and then by name, or as in the document."""
+    return {"alphabet": [F.col(name)], "similarity": [F.desc(similarity), F.col(name)], "document": [F.col(first)]}[kind]
+
+
+def filter_only(section: Column, identity: str) -> Column:
+    """Aggregate: whether a result consists of identity rows, so that only the filter picked it and similarity says nothing."""
+    return (F.count("*") > 0) & F.bool_and(F.coalesce(section == identity, F.lit(False)))
+
+
+def read_section(rows: DataFrame, more: Column, id_col: str) -> DataFrame:
+    """A whole section in document order: (..., position, truncated); truncated if the further condition ``more`` narrowed it.
+
+    ``rows`` are one section of one product, so numbering them in one place is bounded by a document.
+    """
+    narrowed = rows.agg((F.count_if(F.coalesce(more, F.lit(False))) < F.count("*")).alias("truncated"))
+    out = rows.where(more).withColumn("position", F.row_number().over(Window.orderBy(id_col)))
+    return out.crossJoin(F.broadcast(narrowed))  # one row
+
+
+def citation(section: Column, code: Column, identity: str, numbers: dict[str, str]) -> Column:
+    """Where a row comes from: the registry, or a numbered section of a document."""
+    number = F.lit("")
+    for name, n in numbers.items():
+        number = F.when(section == name, F.lit(n)).otherwise(number)
+    return F.when(section == identity, F.concat(F.lit("registry, code "), code)).otherwise(F.concat(F.lit("data/"), code, F.lit("/text § "), number, F.lit(" "), section))
+
+
+#: fixed values: registration states that count as valid
+VALID_STATES = ("R", "B", "C", "F", "I", "K", "M", "Y")
+
+
+def valid_state(state: Column) -> Column:
+    return state.isin(*VALID_STATES)
+
+
+def lemmatised(words: DataFrame, word: str, lemmas: DataFrame, stop: DataFrame) -> DataFrame:
+    """Words through dictionaries in order: those of ``stop`` (word) go, those of ``lemmas`` (word, lemma) become their lemma, the rest stay.
+
+    Both are tables of a language, joined as such: adaptive execution picks the kind of join from their size.
+    """
+    kept = words.join(stop.select(F.col("word").alias(word)), word, "left_anti")
+    return kept.join(lemmas.select(F.col("word").alias(word), "lemma"), word, "left").withColumn(word, F.coalesce("lemma", word)).drop("lemma")
 
 
 def variant_scores(rows: DataFrame, vec: str, key_vec: str | None, original: Sequence[float], variants: Sequence[Sequence[float]], id_col: str) -> DataFrame:

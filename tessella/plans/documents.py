@@ -87,12 +87,13 @@ def doc_vocabulary(spark, root):
 
 
 @query("coverage_ratio", """WITH r AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM benchmark), n AS (SELECT item_id, token, count(*) AS n FROM r GROUP BY 1, 2),
-p AS (SELECT doc_id % 40 AS item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents WHERE doc_id < 40), m AS (SELECT item_id, token, count(*) AS m FROM p GROUP BY 1, 2)
+p AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS item_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS token FROM documents), m AS (SELECT item_id, token, count(*) AS m FROM p GROUP BY 1, 2)
 SELECT item_id, round(sum(least(n, coalesce(m, 0)))::DOUBLE / sum(n), 10) AS coverage, sum(least(n, coalesce(m, 0)))::DOUBLE / sum(n) < 0.9 AS suspicious FROM n LEFT JOIN m USING (item_id, token) GROUP BY 1""")
 def coverage_ratio(spark, root):
     words = lambda c: F.explode(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{3,}"), F.lit(0))).alias("token")
     r = table(spark, root, "benchmark").select("item_id", words("text"))
-    p = table(spark, root, "documents", "doc_id", "text").where("doc_id < 40").select(F.col("doc_id").alias("item_id"), words("text"))
+    n = table(spark, root, "benchmark", "item_id").count()
+    p = table(spark, root, "documents", "doc_id", "text").select((F.col("doc_id") % n).alias("item_id"), words("text"))
     return S.coverage(r, p, "item_id").select("item_id", F.round("coverage", 10).alias("coverage"), (F.col("coverage") < 0.9).alias("suspicious"))
 
 

@@ -57,10 +57,10 @@ def upsert_latest(spark, root):
     return Q.upsert(o.where("version % 3 != 0"), o.where("version % 3 = 0"), ["o_custkey", "o_orderpriority"], "version")
 
 
-@query("insert_ignore", """WITH o AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_nationkey END AS k, c_custkey AS id FROM customer WHERE c_custkey <= 100), n AS (SELECT CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_nationkey END AS k, 100000 + s_suppkey AS id FROM supplier)
+@query("insert_ignore", """WITH o AS (SELECT CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_nationkey END AS k, c_custkey AS id FROM customer), n AS (SELECT CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE s_nationkey END AS k, 100000 + s_suppkey AS id FROM supplier)
 SELECT coalesce(k, -1) AS k, id FROM o UNION ALL SELECT coalesce(k, -1), id FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k IS NOT DISTINCT FROM n.k)""")
 def insert_ignore(spark, root):
-    c = table(spark, root, "customer").where("c_custkey <= 100").select(F.when(F.col("c_custkey") % 10 != 0, F.col("c_nationkey")).alias("k"), F.col("c_custkey").alias("id"))
+    c = table(spark, root, "customer").select(F.when(F.col("c_custkey") % 10 != 0, F.col("c_nationkey")).alias("k"), F.col("c_custkey").alias("id"))
     s = table(spark, root, "supplier").select(F.when(F.col("s_suppkey") % 9 != 0, F.col("s_nationkey")).alias("k"), (F.col("s_suppkey") + 100000).alias("id"))
     return Q.insert_ignore(c, s, ["k"]).withColumn("k", F.coalesce("k", F.lit(-1)))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,11 +23,6 @@ def query_vector(spark: SparkSession, root: str, vec_id: int) -> list[float]:
     return table(spark, root, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"]
 
 
-def search_rows(spark: SparkSession, root: str) -> DataFrame:
-    e = table(spark, root, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    return table(spark, root, "documents").join(e, "doc_id")
-
-
 _FUSED = f"""
 WITH r AS (SELECT doc_id, lang, source, round({_COS.format(7)}, 12) AS cosine, {_HITS} AS hits
            FROM documents JOIN embeddings ON doc_id = vec_id),
@@ -40,9 +35,11 @@ f AS (SELECT coalesce(s.doc_id, l.doc_id) AS doc_id, sem_rank, lex_rank,
 
 
 def _scored(spark, root, vec_id=7):
-    rows = search_rows(spark, root)
+    """(doc_id, lang, source, cosine, hits): each score on the scan of its own table, so texts and vectors aren't shuffled."""
     v = vector(query_vector(spark, root, vec_id))
-    return rows.select("doc_id", "lang", "source", F.round(cosine(F.col("embedding"), v), 12).alias("cosine"), R.term_hits(F.col("text"), TERMS).alias("hits"))
+    hits = table(spark, root, "documents").select("doc_id", "lang", "source", R.term_hits(F.col("text"), TERMS).alias("hits"))
+    near = table(spark, root, "embeddings").select(F.col("vec_id").alias("doc_id"), F.round(cosine(F.col("embedding"), v), 12).alias("cosine"))
+    return hits.join(near, "doc_id")
 
 
 def _fused(spark, root):
@@ -175,9 +172,13 @@ def relative_score(spark, root):
   FROM w CROSS JOIN (VALUES (0.1), (0.6), (1.1)) th(t) LEFT JOIN r ON r.lang = w.lang AND r.hits > 0 GROUP BY 1, 2)
 SELECT lang, threshold::DOUBLE AS threshold, filtered, passed, CASE WHEN filtered = 0 THEN 'filter' WHEN passed = 0 THEN 'threshold' ELSE 'none' END AS reason FROM c""")
 def empty_reason(spark, root):
-    langs = table(spark, root, "documents", "lang").distinct().withColumn("threshold", F.explode(F.array(F.lit(0.1), F.lit(0.6), F.lit(1.1))))
-    hit = _scored(spark, root).where("hits > 0").select(F.col("lang").alias("l"), "cosine")
-    c = langs.join(hit, langs.lang == hit.l, "left").groupBy("lang", "threshold").agg(F.count("l").alias("filtered"), F.count_if(F.col("cosine") >= F.col("threshold")).alias("passed"))
+    steps = (0.1, 0.6, 1.1)
+    passed = [F.count_if(F.col("cosine") >= t).alias(f"n{i}") for i, t in enumerate(steps)]
+    hit = _scored(spark, root).where("hits > 0").groupBy("lang").agg(F.count("*").alias("filtered"), *passed)  # one row per language meets the languages
+    langs = table(spark, root, "documents", "lang").distinct()
+    c = langs.join(hit, "lang", "left").na.fill(0, ["filtered", *[f"n{i}" for i in range(len(steps))]])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"n{i}").alias("passed")) for i, t in enumerate(steps)])).alias("t")
+    c = c.select("lang", "filtered", each).select("lang", "filtered", "t.*")
     reason = F.when(F.col("filtered") == 0, "filter").when(F.col("passed") == 0, "threshold").otherwise("none")
     return c.select("lang", "threshold", "filtered", "passed", reason.alias("reason"))
 
@@ -188,27 +189,27 @@ def read_section(spark, root):
     return c.withColumn("position", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long"))
 
 
-@query("precision_at_k", f"""WITH q AS (SELECT vec_id AS q, label AS ql, embedding AS qe FROM embeddings WHERE vec_id < 20),
+@query("precision_at_k", f"""WITH q AS (SELECT vec_id AS q, label AS ql, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
 p AS (SELECT q, ql, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], qe::DOUBLE[]), 12) AS s FROM q CROSS JOIN embeddings e WHERE e.vec_id <> q),
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS r FROM p QUALIFY r <= 5)
 SELECT q AS query_id, count(*) FILTER (WHERE label = ql) AS hits, avg((label = ql)::INT)::DOUBLE AS precision_at_5, max((label = ql)::INT) AS hit FROM k GROUP BY 1""")
 def precision_at_k(spark, root):
     e = table(spark, root, "embeddings")
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("label").alias("truth"), F.col("embedding").alias("qe"))
-    pairs = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))  # 20 stated queries
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("truth"), F.col("embedding").alias("qe"))
+    pairs = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))  # the stated query set: every fiftieth id
     s = pairs.select("query_id", "truth", "label", "vec_id", F.round(cosine(F.col("embedding"), F.col("qe")), 12).alias("s"))
     k = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))).where("r <= 5")
     good = (F.col("label") == F.col("truth")).cast("int")
     return k.groupBy("query_id").agg(F.sum(good).alias("hits"), F.avg(good).alias("precision_at_5"), F.max(good).alias("hit"))
 
 
-@query("threshold_sweep", f"""WITH q AS (SELECT vec_id AS q, embedding AS qe FROM embeddings WHERE vec_id < 10),
+@query("threshold_sweep", f"""WITH q AS (SELECT vec_id AS q, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
 p AS (SELECT q, round(list_cosine_similarity(e.embedding::DOUBLE[], qe::DOUBLE[]), 12) AS s FROM q CROSS JOIN embeddings e WHERE e.vec_id <> q)
 SELECT t::DOUBLE AS threshold, count(*) FILTER (WHERE s >= t) AS rows_kept, count(DISTINCT CASE WHEN s >= t THEN q END) AS queries_answered
 FROM p CROSS JOIN (VALUES (0.0), (0.1), (0.2), (0.3), (0.4), (0.5), (0.6)) v(t) GROUP BY 1""")
 def threshold_sweep(spark, root):
     e = table(spark, root, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
     p = e.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select("q", F.round(cosine(F.col("embedding"), F.col("qe")), 12).alias("s"))
     t = p.withColumn("threshold", F.explode(F.array(*[F.lit(x / 10) for x in range(7)])))
     kept = F.col("s") >= F.col("threshold")

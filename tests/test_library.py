@@ -191,3 +191,52 @@ def test_longest_other(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "a", 9), (3, "a", 9), (4, "b", 1)], "id int, g string, n int")
     got = {r.id: r.o for r in df.select("id", Q.longest_other("n", ["g"], "id").alias("o")).collect()}
     assert got == {1: 9, 2: 9, 3: 9, 4: None}
+
+
+def test_repaired_names_against_all_pairs(spark):
+    """Names with typos against every registered form by the same ratio."""
+    from difflib import SequenceMatcher
+
+    from tessella.operators.routing import repaired_names
+
+    registry = ["AMOKSIKLAV 1 G", "PARALEN 500", "IBALGIN", "ALGESAL", "Zyrtec kapky", "čípky Paralen"]
+    asked = ["amokisklav", "paralen", "ibalgni", "ibuprofen", "zyrtek kapky", "xx", "  ", "amoksiklav 1"]
+    plain = lambda t: t.lower().translate(str.maketrans("čí", "ci")).strip()
+    want = {}
+    for a in asked:
+        h, k = plain(a), len(plain(a).split())
+        forms = {f for r in registry for f in (r, *(" ".join(r.split()[: len(plain(x).split())]) for x in asked if plain(x)))}
+        scored = sorted((-SequenceMatcher(None, h, plain(f)).ratio(), f) for f in forms)
+        right = not h or any(h in plain(f) for f in registry)
+        want[a] = a if right or -scored[0][0] < 0.8 else scored[0][1]
+        assert k >= 0
+    reg, q = (spark.createDataFrame([(x,) for x in xs], "name string") for xs in (registry, asked))
+    assert {r.name: r.repaired for r in repaired_names(q, "name", reg).collect()} == want
+
+
+def test_files_and_writers(spark, tmp_path):
+    """Sources and sinks that no query reads: documents per file, dictionaries, reports, requests, refreshed sections, guarded reloads."""
+    from tessella.sources import tables as S
+
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "a.json").write_text('[{"code": "1"}, {"code": "2"}]')
+    (tmp_path / "json" / "b.json").write_text('{"code": "3", "other": 1}')
+    got = S.json_documents(spark, f"{tmp_path}/json", "code string").collect()
+    assert sorted((r.code, r.file[-6:]) for r in got) == [("1", "a.json"), ("2", "a.json"), ("3", "b.json")]
+    (tmp_path / "text").mkdir()
+    (tmp_path / "text" / "a.txt").write_text("a text that is long\nenough")
+    (tmp_path / "text" / "b.txt").write_text("short")
+    assert [r.text for r in S.text_documents(spark, f"{tmp_path}/text").collect()] == ["a text that is long\nenough"]
+    (tmp_path / "words.json").write_text('{"_note": ["x"], "Reflux": ["pálení žáhy", "kyselina"]}')
+    assert sorted(tuple(r) for r in S.dictionary(spark, f"{tmp_path}/words.json").collect()) == [("reflux", 0, "pálení žáhy"), ("reflux", 1, "kyselina")]
+    rows = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, section string, batch int")
+    S.write_csv(rows, f"{tmp_path}/csv")
+    assert spark.read.option("sep", ";").option("header", True).csv(f"{tmp_path}/csv").count() == 2
+    S.write_requests(rows, f"{tmp_path}/requests")
+    assert sorted(p.name for p in (tmp_path / "requests").glob("batch=*")) == ["batch=1", "batch=2"]
+    S.replace_partitions(rows, f"{tmp_path}/sections", "section")
+    S.replace_partitions(spark.createDataFrame([(3, "b", 9)], rows.schema), f"{tmp_path}/sections", "section")
+    assert sorted((r.id, r.section) for r in spark.read.parquet(f"{tmp_path}/sections").collect()) == [(1, "a"), (3, "b")]
+    rows.write.parquet(f"{tmp_path}/guarded")
+    S.reload(rows, f"{tmp_path}/target", {"guarded": f"{tmp_path}/guarded"})
+    assert spark.read.parquet(f"{tmp_path}/target").count() == 2
