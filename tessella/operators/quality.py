@@ -56,7 +56,7 @@ def fragment_reason(text: Column, longest_neighbour: Column) -> Column:
     small = F.substring(text, 1, 1) != F.upper(F.substring(text, 1, 1))
     return (
         F.when(first.rlike("^(u|s|se|při|pro|po|ke|k|v|ve|z|ze|of|in|with|de|en|von|mit)$"), "preposition")
-        .when(first.rlike("^[a-z-]+(em|ou|ami|ech|ing|ed)$") & small, "inflected")
+        .when(first.rlike(r"^[\p{L}-]+(em|ou|ami|ech|ím|ými|ích|ého|ému|ým)$") & small, "inflected")
         .when((words <= 2) & (longest_neighbour >= 8), "short")
     )
 

@@ -258,7 +258,7 @@ def atc_mismatch(spark, root):
 @query("fragment_detectors", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
 i AS (SELECT doc_id, pos, trim(line) AS t, len(regexp_split_to_array(trim(line), '\s+')) AS n FROM l WHERE trim(line) <> ''),
 w AS (SELECT *, lower(regexp_replace(split_part(t, ' ', 1), '^[(,]+|[(,]+$', '', 'g')) AS f, (SELECT max(j.n) FROM i j WHERE j.doc_id = i.doc_id AND j.pos <> i.pos) AS o FROM i),
-r AS (SELECT doc_id, pos, CASE WHEN regexp_matches(f, '^(u|s|se|při|pro|po|ke|k|v|ve|z|ze|of|in|with|de|en|von|mit)$') THEN 'preposition' WHEN regexp_matches(f, '^[a-z-]+(em|ou|ami|ech|ing|ed)$') AND substr(t, 1, 1) <> upper(substr(t, 1, 1)) THEN 'inflected' WHEN n <= 2 AND o >= 8 THEN 'short' END AS reason FROM w)
+r AS (SELECT doc_id, pos, CASE WHEN regexp_matches(f, '^(u|s|se|při|pro|po|ke|k|v|ve|z|ze|of|in|with|de|en|von|mit)$') THEN 'preposition' WHEN regexp_matches(f, '^[\p{L}-]+(em|ou|ami|ech|ím|ými|ích|ého|ému|ým)$') AND substr(t, 1, 1) <> upper(substr(t, 1, 1)) THEN 'inflected' WHEN n <= 2 AND o >= 8 THEN 'short' END AS reason FROM w)
 SELECT doc_id, pos, reason FROM r WHERE reason IS NOT NULL""")
 def fragment_detectors(spark, root):
     lines = S.lines_of(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text").withColumn("t", F.trim("line")).where("t != ''")
