@@ -10,25 +10,30 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm import shingle_sets
 from tessella.llm.common import connected_components, documents, drop_table, write_table
 
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """64-bit SimHash of one text: bit i is set if it is set in over half of the shingle hashes; no words give 0."""
+def shingle_hashes(text: str | None, shingle: int = 4) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; fewer words are one shingle, no words none."""
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: only A-Z and ASCII white space
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, hash64 = b" ".join(words), xxhash.xxh64_intdigest
     if n <= shingle:
-        return hash64(joined, SEED)
+        return np.array([hash64(joined, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    hashes = np.fromiter(
+    return np.fromiter(
         (hash64(joined[i:j], SEED) for i, j in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())), np.uint64, n - shingle + 1
     )
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes; no hashes give 0."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 15):
         part = hashes[i : i + (1 << 15)]
@@ -36,6 +41,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    """64-bit SimHash of one text."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """One row (id, fp) per row of ``docs``; fp is the fingerprint as a signed long. Null text counts as no words."""
 
@@ -47,6 +57,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
 
 
+def sketches(docs: DataFrame, shingle: int) -> DataFrame:
+    """Rows (id, fp, s, n, bands) per row (id, text): the fingerprint, and a digest, the size and the table keys of the set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, digests, sizes, bands = [], [], [], []
+            for text in batch.column(1):
+                hashes = shingle_hashes(text.as_py(), shingle)
+                unique = np.unique(hashes)
+                fps.append(majority(hashes))
+                digests.append(shingle_sets.set_digest(unique))
+                sizes.append(len(unique))
+                bands.append(shingle_sets.band_keys(unique))
+            columns = [batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(bands, pa.list_(pa.int64()))], names=["id", "fp", "s", "n", "bands"])
+
+    return docs.mapInArrow(run, "id long, fp long, s binary, n long, bands array<long>")
+
+
 def covering_masks(radius: int) -> list[int]:
     """2^(r+1)-1 masks of 64 bits such that for any r bit positions some mask leaves all of them out.
 
@@ -167,6 +196,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marks.join(known, "fp").select("id", "fp", "component_id")
 
 
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 4, pairwise: int = 256
+) -> DataFrame:
+    """Rows (id, fp, component_id) as of ``near_duplicates``, over links of at most ``radius`` bits and, besides, of sets of shingles
+    with a Jaccard similarity of ``similarity`` or more.
+
+    Two texts of similarity 0.8 differ in ten of the 64 bits on average, which no affordable number of covering tables
+    reaches; so candidates of the second kind come from MinHash tables and are compared exactly (``shingle_sets.components``).
+    Nulls, empty texts, repeats and empty tables are treated as in ``near_duplicates``; texts without words are linked by their fingerprint.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    marks = write_table(sketches(rows, shingle), "sketches")
+    classes = marks.groupBy("fp", "s").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = write_table(classes, "sketch-classes")
+    named = classes.where("rep IS NOT NULL")
+    distinct = write_table(named.groupBy("fp").agg(F.min("rep").alias("rep")), "distinct-fingerprints")
+    by_set = named.groupBy("s").agg(F.min("rep").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    by_set = write_table(by_set, "distinct-sets")
+    same_fp = named.select("fp", F.col("rep").alias("a")).join(distinct, "fp").where("a != rep").select("a", F.col("rep").alias("b"))
+    same_set = named.select("s", F.col("rep").alias("a")).join(by_set.select("s", "low"), "s").where("a != low").select("a", F.col("low").alias("b"))
+    edges = write_table(links(distinct, radius, pairwise).unionByName(same_fp).unionByName(same_set), "near-edges")
+    parts = shingle_sets.components(by_set.select(F.col("low").alias("rep"), "n", "bands"), edges, rows, lambda t: shingle_hashes(t, shingle), similarity)
+    known = classes.join(parts, classes.rep == parts.node, "left").select("fp", "s", F.coalesce("component", "rep").alias("component_id"))
+    known = write_table(known, "known-classes")
+    for t in (classes, distinct, by_set, edges, parts):
+        drop_table(t)
+    return marks.join(known, ["fp", "s"]).select("id", "fp", "component_id")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -99,6 +99,35 @@ def test_near_duplicates(spark, edge_docs, edge_rows, empty_docs):
     assert simhash.near_duplicates(empty_docs).count() == 0
 
 
+def test_similar_documents(spark, edge_docs, edge_rows, empty_docs):
+    """Against all pairs: fingerprints within four bits, or five-word Jaccard of 0.8 or more; with crowded buckets too."""
+    r = np.random.default_rng(3)
+    rows = [(i, t) for i, t in edge_rows if i is not None]
+    number = 1000
+    for base, copies in [(50, 4), (60, 40), (70, 30)]:
+        words = prose(base, 120).split()
+        for _ in range(copies):
+            own = list(words)
+            for k in r.choice(len(own), int(r.integers(1, 4 if base < 70 else 8)), replace=False):
+                own[int(k)] = f"w{int(r.integers(1 << 30))}"
+            rows.append((number, " ".join(own)))
+            number += 1
+    hashed = [(i, simhash.fingerprint(t, 5), set(simhash.shingle_hashes(t, 5).tolist())) for i, t in rows]
+    links = [
+        (a, b)
+        for (a, x, p), (b, y, q) in combinations(hashed, 2)
+        if (x ^ y).bit_count() <= 4 or (p and q and 5 * len(p & q) >= 4 * len(p | q))
+    ]
+    want = components({i for i, _ in rows}, links)
+    beyond = components({i for i, _ in rows}, [(a, b) for (a, x, _), (b, y, _) in combinations(hashed, 2) if (x ^ y).bit_count() <= 4])
+    assert len(set(beyond.values())) > len(set(want.values())) + 10  # the fingerprint alone leaves most apart
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.similar_documents(docs).collect()
+    assert len(got) == len(rows) and {x.id: x.component_id for x in got} == want
+    assert sorted((x.id is None, x.id) for x in simhash.similar_documents(edge_docs).collect() if x.id is not None) == sorted((False, i) for i, _ in edge_rows if i is not None)
+    assert simhash.similar_documents(empty_docs).count() == 0
+
+
 def test_links_against_all_pairs(spark):
     r = np.random.default_rng(1)
     base = [int(x) for x in r.integers(0, 1 << 63, 30)]
