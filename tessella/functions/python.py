@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
+from difflib import SequenceMatcher, get_close_matches
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -16,6 +16,17 @@ def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def closest_of(choices: list[str], cutoff: float):
+    """The choice most similar to a string by gestalt ratio, null below ``cutoff``; a string is compared once per batch."""
+
+    @F.pandas_udf(T.StringType())
+    def closest(keys: pd.Series) -> pd.Series:
+        found = {k: next(iter(get_close_matches(k, choices, 1, cutoff)), None) for k in keys.dropna().unique()}
+        return keys.map(found).astype(object).where(keys.notna(), None)
+
+    return closest
+
+
 def _covers(positions: list[list[int]]) -> list[tuple[int, int]]:
     """Minimal intervals that hold every term, by one sweep over the merged positions."""
     events = sorted((p, t) for t, ps in enumerate(positions) for p in ps)

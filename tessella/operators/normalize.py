@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.text import fold, squash, squeeze, strip_fence
+from tessella.functions.python import closest_of
+from tessella.functions.text import ACCENTED, PLAIN, fold, squash, squeeze, strip_fence
 
 # fixed values: the frequency scale, its ranks and other wordings
 RANKS = {"velmi caste": 1, "caste": 2, "mene caste": 3, "vzacne": 4, "velmi vzacne": 5, "neni znamo": 9}
@@ -50,6 +53,15 @@ def frequency(value: Column) -> tuple[Column, Column]:
     return text, F.when(empty, F.lit(UNKNOWN_RANK)).otherwise(rank)
 
 
+def near_frequency(value: Column) -> tuple[Column, Column]:
+    """As ``frequency``, but a misspelt value takes the nearest wording of the scale (gestalt ratio of 0.75 or more)."""
+    text, rank = frequency(value)
+    key = frequency_key(value)
+    misspelt = (value != "") & _lookup(RANKS, key).isNull()
+    near = _lookup(RANKS, closest_of(list(RANKS), 0.75)(F.when(misspelt, key)))
+    return F.when(near.isNotNull(), _lookup(CANON, near)).otherwise(text), F.coalesce(near, rank)
+
+
 def group_code(value: Column) -> Column:
     """The patient group as a code; nothing given is said explicitly."""
     t = fold(value)
@@ -70,6 +82,14 @@ def organ(value: Column) -> tuple[Column, Column]:
     return F.when(empty, F.lit(None).cast("string")).otherwise(F.coalesce(hit, clean)), how
 
 
+def near_organ(value: Column) -> tuple[Column, Column]:
+    """As ``organ``, but an unknown name takes the nearest canonical one (gestalt ratio of 0.85 or more, squashed)."""
+    name, how = organ(value)
+    squashed = {re.sub("[^a-z0-9]", "", o.lower().translate(str.maketrans(ACCENTED, PLAIN))): o for o in ORGANS}
+    near = _lookup(squashed, closest_of(list(squashed), 0.85)(F.when(how == "nezname", squash(name))))
+    return F.coalesce(near, name), F.when(near.isNotNull(), "pribuzna").otherwise(how)
+
+
 def answer_state(raw: Column, keys: list[str]) -> tuple[Column, Column, Column]:
     """(state, items, valid): the state of a JSON answer {"items": [...]}: failed, empty, partial or unverified."""
     parsed = F.from_json(strip_fence(raw), "items array<map<string,string>>")

@@ -367,6 +367,19 @@ def freq_normalize(spark, root):
     return frequency_values(spark, root).select("event_id", text.alias("frequency"), rank.alias("freq_rank"))
 
 
+def _misspelt(value, n):
+    """A value without its ``n``-th letter; 0 leaves it whole."""
+    return F.concat(F.expr(f"substr({value}, 1, {n} - 1)"), F.expr(f"substr({value}, {n} + 1)"))
+
+
+@query("freq_near")
+def freq_near(spark, root):
+    """Misspelt frequencies take the nearest wording of the scale."""
+    v = frequency_values(spark, root).select("event_id", _misspelt("v", "(event_id % 7 + 1)").alias("v"))
+    text, rank = N.near_frequency(F.col("v"))
+    return v.select("event_id", "v", text.alias("frequency"), rank.alias("freq_rank"))
+
+
 _GROUP_CASE = "CASE WHEN trim(coalesce(x, '')) = '' THEN 'neuvedeno' " + " ".join(f"WHEN contains({sql_fold('x')}, '{p}') THEN '{c}'" for p, c in N.GROUP_PARTS) + " ELSE 'jine' END"
 
 
@@ -383,11 +396,23 @@ q AS (SELECT p_partkey, c, regexp_replace({sql_fold('c')}, '[^a-z0-9]', '', 'g')
 SELECT p_partkey, CASE WHEN k = '' THEN NULL ELSE coalesce(name, c) END AS organ, CASE WHEN k = '' THEN 'prazdna' WHEN name IS NOT NULL THEN 'presna' ELSE 'nezname' END AS how
 FROM q LEFT JOIN o ON regexp_replace({sql_fold('name')}, '[^a-z0-9]', '', 'g') = k""")
 def organ_normalize(spark, root):
+    name, how = N.organ(F.col("v"))
+    return organ_values(spark, root).select("p_partkey", name.alias("organ"), how.alias("how"))
+
+
+def organ_values(spark, root):
     k = F.col("p_partkey")
     names = F.array(*[F.lit(o) for o in N.ORGANS])
     v = F.when(k % 11 == 0, " ").when(k % 11 == 1, F.concat(F.lit("Neznámá "), "p_name")).otherwise(F.concat(F.upper(F.element_at(names, (k % 26 + 1).cast("int"))), F.lit(" (viz bod 4.3)*.")))
-    name, how = N.organ(F.col("v"))
-    return table(spark, root, "part").select("p_partkey", v.alias("v")).select("p_partkey", name.alias("organ"), how.alias("how"))
+    return table(spark, root, "part").select("p_partkey", v.alias("v"))
+
+
+@query("organ_near")
+def organ_near(spark, root):
+    """Misspelt organ systems take the nearest canonical name."""
+    v = organ_values(spark, root).select("p_partkey", _misspelt("v", "(p_partkey % 6)").alias("v"))
+    name, how = N.near_organ(F.col("v"))
+    return v.select("p_partkey", "v", name.alias("organ"), how.alias("how"))
 
 
 @query("json_answer_state", """WITH e AS (SELECT event_id, event_id % 6 AS c, props FROM events) SELECT event_id,

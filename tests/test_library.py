@@ -240,3 +240,37 @@ def test_files_and_writers(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/guarded")
     S.reload(rows, f"{tmp_path}/target", {"guarded": f"{tmp_path}/guarded"})
     assert spark.read.parquet(f"{tmp_path}/target").count() == 2
+
+
+def test_nearest_wordings_against_all_choices(spark):
+    """The two queries with misspelt values, against the ratio to every choice."""
+    import re
+    import unicodedata
+    from difflib import SequenceMatcher
+
+    import __spark_entry__ as entry
+
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+
+    def nearest(key, choices, cutoff):
+        score, choice = max((SequenceMatcher(None, c, key).ratio(), c) for c in choices)
+        return choice if score >= cutoff else None
+
+    near = 0
+    for r in entry.queries()["freq_near"](spark, "/root/testdata/sf0.001").distinct().collect():
+        key = re.sub(r"\s+", " ", plain(re.sub(r"\(.*?\)", " ", r.v))).strip().rstrip(":")
+        key = N.SYNONYMS.get(key, key)
+        got = key if key in N.RANKS else nearest(key, N.RANKS, 0.75)
+        near += got is not None and got != key
+        want = (None, 9) if not r.v else (N.CANON[N.RANKS[got]], N.RANKS[got]) if got else (r.v.strip(), 9)
+        assert (r.frequency, r.freq_rank) == want
+    organs = {re.sub("[^a-z0-9]", "", plain(o)): o for o in N.ORGANS}
+    hows = set()
+    for r in entry.queries()["organ_near"](spark, "/root/testdata/sf0.001").collect():
+        clean = re.sub(r"(?i)\s*\((?:viz|see)[^)]*\)|[*†‡]+", "", r.v).strip(" .:;,")
+        key = re.sub("[^a-z0-9]", "", plain(clean))
+        got = key if key in organs else nearest(key, organs, 0.85)
+        want = (None, "prazdna") if not key else (organs[got], "presna" if got == key else "pribuzna") if got else (clean, "nezname")
+        assert (r.organ, r.how) == want
+        hows.add(r.how)
+    assert near and hows == {"prazdna", "presna", "pribuzna", "nezname"}
