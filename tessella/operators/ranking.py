@@ -29,20 +29,29 @@ def leaderboard(rows: DataFrame, score: str, id_col: str, n: int, name: str) ->
 
 
 def term_hits(text: Column, terms: Sequence[str]) -> Column:
-    """How many of the terms occur as words of the folded text."""
-    folded = fold(text)
-    return sum((folded.rlike(rf"(^|[^a-z0-9]){t}([^a-z0-9]|$)").cast("int") for t in terms), F.lit(0))
+    """How many of the terms (folded words) occur as words of the folded text; null for a null text.
+
+    The text is folded once for all terms, also where filters repeat the expression; the pattern, which checks where the word begins and ends,
+    only runs over texts that contain the term.
+    """
+    word = lambda folded, t: folded.contains(t) & folded.rlike(rf"(^|[^a-z0-9]){t}([^a-z0-9]|$)")
+    hits = lambda folded: sum((word(folded, t).cast("int") for t in terms), F.lit(0))
+    return F.get(F.transform(F.array(fold(text)), hits), F.lit(0))
 
 
 def clause_match(tokens: Column, clauses: Sequence[Sequence[str]]) -> Column:
-    """Any clause all of whose terms are among the tokens: terms are joined by AND, clauses by OR."""
-    hit = F.lit(False)
-    for clause in clauses:
-        all_ = F.lit(True)
-        for t in clause:
-            all_ = all_ & F.array_contains(tokens, t)
-        hit = hit | all_
-    return hit
+    """Any clause all of whose terms are among the tokens: terms are joined by AND, clauses by OR. The tokens are derived once, also in a filter."""
+
+    def any_clause(words):
+        hit = F.lit(False)
+        for clause in clauses:
+            all_ = F.lit(True)
+            for t in clause:
+                all_ = all_ & F.array_contains(words, t)
+            hit = hit | all_
+        return hit
+
+    return F.get(F.transform(F.array(tokens), any_clause), F.lit(0))
 
 
 def rrf(sem: Column, lex: Column, weight: float = SEMANTIC_WEIGHT, k: int = RRF_K) -> Column:
