@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, exact_dedup, language_id, line_dedup, pii_surrogates, quality_rules, sentencepieces, sharding, simhash, token_alignment, token_store
+from tessella.llm import decontaminate, exact_dedup, language_id, line_dedup, pii_surrogates, quality_rules, sentencepieces, sharding, simhash, spelling, token_alignment, token_store
 
 
 def queries():
@@ -21,6 +21,7 @@ def queries():
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_sharding": sharding.op10_sharding,
         "op12_token_alignment": token_alignment.op12_token_alignment,
+        "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
 
