@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import decontaminate, exact_dedup, language_id, line_dedup, pii_surrogates, quality_rules, sentencepieces, sharding, simhash, spelling, token_alignment, token_store
+from tessella.llm import decontaminate, exact_dedup, language_id, line_dedup, pii_surrogates, quality_rules, sentencepieces, sharding, simhash, spelling, token_alignment, token_store, url_filter
 
 
 def queries():
@@ -20,6 +20,7 @@ def queries():
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_sharding": sharding.op10_sharding,
+        "op11_url_filter": url_filter.op11_url_filter,
         "op12_token_alignment": token_alignment.op12_token_alignment,
         "op13_spelling_variants": spelling.op13_spelling_variants,
     }
@@ -28,5 +29,5 @@ def queries():
 def oracle_sql():
     import corpus_pipeline
 
-    out = {"op8_exact_dedup": exact_dedup.OP8_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    out = {"op8_exact_dedup": exact_dedup.OP8_SQL, "op11_url_filter": url_filter.OP11_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {name: sql for name, sql in out.items() if sql}
