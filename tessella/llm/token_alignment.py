@@ -254,6 +254,20 @@ def _written(a_ids: np.ndarray, of_a: np.ndarray, b_ids: np.ndarray, of_b: np.nd
 _MATRICES = [f"{m}_{part}" for m in ("per_text", "links") for part in ("indptr", "indices", "data")]
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Compressed 32-bit integers (64-bit ones where a value needs it), after their kind and size: a block is a narrow row for the JVM."""
+    kind = "<i4" if values.max(initial=0) < 1 << 31 else "<i8"
+    raw = values.astype(kind).tobytes()
+    return kind.encode() + len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(packed: pa.Buffer) -> np.ndarray:
+    head = packed.slice(0, 11).to_pybytes()
+    size = int.from_bytes(head[3:], "little")
+    raw = pa.decompress(packed.slice(11), decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+    return np.frombuffer(raw, head[:3].decode()).astype(np.int64)
+
+
 def align_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str, block_chars: int) -> DataFrame:
     """One row per block of documents (about ``block_chars`` characters): counts by document, sparse matrices as bytes, and the block's id pairs."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -264,8 +278,8 @@ def align_blocks(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_co
             x = align_texts(texts, tokens)
             lists = [ids, *(pa.array(x.n[k]) for k in ("n_a", "n_b", "n_groups", "n_links")), pa.array(x.digests, pa.string())]
             lists += [pa.array(x.pairs >> 32), pa.array(x.pairs & 0xFFFFFFFF), pa.array(x.n_texts)]
-            raw = [getattr(m, part_).astype(np.int32 if part_ == "indices" else np.int64) for m in (x.per_text, x.links) for part_ in ("indptr", "indices", "data")]
-            columns = [pa.array([part << 32 | n]), *(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists), *(pa.array([v.tobytes()], pa.binary()) for v in raw)]
+            raw = [getattr(m, array) for m in (x.per_text, x.links) for array in ("indptr", "indices", "data")]
+            columns = [pa.array([part << 32 | n]), *(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in lists), *(pa.array([_pack(v)], pa.binary()) for v in raw)]
             yield pa.RecordBatch.from_arrays(columns, names=["block", "ids", "n_a", "n_b", "n_groups", "n_links", "digests", "a", "b", "n_texts", *_MATRICES])
             n += 1
 
@@ -310,7 +324,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     zeros and an empty digest; special tokens' strings are plain text; repeated rows each count and each give
     a row; null ids are kept; an empty table gives empty tables; other columns are not read.
     """
-    blocks = write_table(align_blocks(docs, a_path, b_path, id_col, text_col, block_chars), "alignment", compression="zstd")
+    blocks = write_table(align_blocks(docs, a_path, b_path, id_col, text_col, block_chars), "alignment")
     counts = pair_counts(blocks)
     place = blocks.select("block", F.posexplode(F.arrays_zip("a", "b")).alias("at", "p")).select("block", "at", "p.*")
     back = place.join(counts, ["a", "b"]).groupBy("block").agg(F.collect_list(F.struct("at", "n", F.col("best").cast("long").alias("best"))).alias("p"))
@@ -322,7 +336,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
-                raw = {m: np.frombuffer(row[m].as_buffer() or b"", np.int32 if m.endswith("indices") else np.int64) for m in _MATRICES}
+                raw = {m: _unpack(row[m].as_buffer()) for m in _MATRICES}
                 values = {c: (row[c].values.to_numpy() if row[c].is_valid else np.zeros(0, np.int64)) for c in ("p_at", "p_n", "p_best")}
                 links = CSR(*(raw[f"links_{x}"] for x in ("indptr", "indices", "data")), len(values["p_at"]))
                 per_text = CSR(*(raw[f"per_text_{x}"] for x in ("indptr", "indices", "data")), links.height)
