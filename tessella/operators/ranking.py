@@ -68,6 +68,7 @@ def fuse(semantic: DataFrame, lexical: DataFrame, id_col: str) -> DataFrame:
 def search(
     rows: DataFrame, vectors: DataFrame, flt: SearchFilter, variants: Sequence[Sequence[float]], terms: Sequence[str], *, threshold: float | None = None,
     groups: int = 10, passages: int = 3, mode: str = "rrf", order: str = "score", forced: Sequence[str] = (), fetch: int | None = None, id_col: str = "doc_id", group: str = "code",
+    lexical: DataFrame | None = None, key_vec: str | None = None, original: Sequence[float] | None = None,
 ) -> DataFrame:
     """The composed search: (group, position, passage, id, cosine, rrf).
 
@@ -75,12 +76,25 @@ def search(
     similarity over the query's variants on the scan of vectors, and only ids and scores meet. Both leaderboards are
     fused; rows below the threshold go, unless the filter picks rows by identity. ``groups`` times ``passages`` rows and
     40 more are fetched (or ``fetch``), grouped, and the groups put in ``order``.
+
+    With ``lexical`` (id, rank), such as ``fulltext.text_ranks`` gives from an index, no text is read and its rank
+    orders the lexical board. ``key_vec`` names a second vector of the rows. The vector of the ``original`` sentence
+    replaces the variants for all rows if its best row among those filtered beats theirs.
     """
     if forced:
         flt = replace(flt, sections=tuple(forced))
-    hits = rows.where(flt.condition()).select(id_col, group, term_hits(F.col("text"), terms).alias("hits"))
-    near = vectors.select(id_col, F.round(best_cosine(F.col("embedding"), None, variants), 12).alias("cosine"))
+    kept = rows.where(flt.condition())
+    if lexical is None:
+        hits = kept.select(id_col, group, term_hits(F.col("text"), terms).alias("hits"))
+    else:
+        ranks = lexical.select(F.col("id").alias(id_col), F.round("rank", 12).alias("hits"))
+        hits = kept.select(id_col, group).join(ranks, id_col, "left").withColumn("hits", F.coalesce("hits", F.lit(0.0)))
+    vec, key = F.col("embedding"), F.col(key_vec) if key_vec else None
+    near = vectors.where("embedding IS NOT NULL").select(id_col, F.round(best_cosine(vec, key, variants), 12).alias("cosine"), *([F.round(best_cosine(vec, key, [original]), 12).alias("own")] if original is not None else []))
     scored = hits.join(near, id_col)
+    if original is not None:
+        best = scored.agg((F.max("own") > F.max("cosine")).alias("use_own"))
+        scored = scored.crossJoin(F.broadcast(best)).withColumn("cosine", F.when(F.col("use_own"), F.col("own")).otherwise(F.col("cosine"))).drop("own", "use_own")  # one row
     fused = fuse(leaderboard(scored, "cosine", id_col, SEMANTIC_CAP, "sem_rank"), leaderboard(scored.where("hits > 0"), "hits", id_col, LEXICAL_CAP, "lex_rank"), id_col)
     out = fused.select(id_col, F.round("rrf", 15).alias("rrf")).join(scored, id_col)
     if threshold is not None and not flt.exact:

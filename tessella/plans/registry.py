@@ -26,6 +26,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
 
 
 def registered() -> tuple[dict[str, Run], dict[str, str]]:
-    from tessella.plans import composed, documents, operations, search, understanding  # noqa: F401  registers their queries
+    from tessella.plans import composed, documents, fulltext, operations, search, understanding  # noqa: F401  registers their queries
 
     return dict(_runs), dict(_sql)

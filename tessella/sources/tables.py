@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +16,27 @@ def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame
     return df.select(*columns) if columns else df
 
 
+_own: dict[str, str] = {}
+
+
+def work_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder all executors share, ``spark.checkpoint.dir``; in local mode, where one process does all, in an own one if that is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        named = _own[app] = _own.get(app) or "file://" + tempfile.mkdtemp(prefix="tessella-work-")
+    return f"{named.rstrip('/')}/tessella/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """The rows written as Parquet in the shared folder and read again: computed once, and lineage ends there."""
+    path = work_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One row per JSON file (or array element) with the file it came from; the schema is given, not inferred."""
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
