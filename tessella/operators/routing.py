@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.python import gestalt_ratio
 from tessella.functions.text import fold
+from tessella.operators.similarity import contained_in, similar_pairs
 
 SECTIONS = ("attributes", "indication", "contraindication", "adverse", "dosing")
 ANSWER = "sections array<string>, confidence string, name string, substance string, strength string, freq_rank_max int, rx boolean, reimbursed boolean"
@@ -30,30 +30,24 @@ def validated(answer: Column) -> Column:
     )
 
 
-def _grams(c: Column) -> Column:
-    """Distinct pairs of neighbouring letters."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2))))
-
-
 def repaired_names(asked: DataFrame, name: str, registry: DataFrame, least: float = LEAST_RATIO) -> DataFrame:
     """(name, repaired): each distinct name of ``asked`` with the registry's form of it; unknown names stay as they are.
 
     A name that is part of a registered one is right already. Otherwise the most similar of the whole names and of their
-    first words, as many as the name has, takes its place, if the ratio reaches ``least``. Only pairs that share at
-    least two letter pairs per word in three are compared, which a ratio of 0.8 implies.
+    first words, as many as the name has, takes its place, if the ratio reaches ``least`` (ties by code point). Both
+    steps are equi-joins: ``similarity.contained_in`` and ``similarity.similar_pairs``.
     """
     q = asked.select(F.col(name).alias("name")).where("name IS NOT NULL").distinct().withColumn("h", F.trim(fold("name"))).where("h != ''")
-    forms = registry.select(F.col("name").alias("form")).distinct()
-    words = q.select(F.size(F.split("h", " ")).alias("k")).distinct()
-    heads = forms.crossJoin(F.broadcast(words)).select(F.array_join(F.slice(F.split("form", " "), F.lit(1), F.col("k")), " ").alias("form"))  # a handful of word counts
-    forms = forms.unionByName(heads).distinct().withColumn("f", fold("form"))
-    right = q.join(forms.select("f"), F.contains("f", "h"), "left_semi").select("name", F.col("name").alias("repaired"))
+    q = q.withColumn("words", F.size(F.split("h", " ")))
+    whole = registry.select(F.col("name").alias("form")).where("form IS NOT NULL").distinct()
+    words = q.select("words").distinct()  # a handful of word counts
+    heads = whole.crossJoin(F.broadcast(words)).select(F.array_join(F.slice(F.split("form", " "), F.lit(1), F.col("words")), " ").alias("form"), "words")
+    forms = whole.withColumn("words", F.lit(0)).unionByName(heads).distinct().withColumn("f", fold("form"))
+    right = q.join(contained_in(q, "h", forms.where("words = 0"), "f").withColumnRenamed("part", "h"), "h", "left_semi").select("name", F.col("name").alias("repaired"))
     todo = q.join(right.select("name"), "name", "left_anti")
-    by_gram = lambda rows, c: rows.withColumn("gram", F.explode(_grams(F.col(c))))
-    met = by_gram(todo, "h").join(by_gram(forms, "f"), "gram").groupBy("name", "h", "form", "f").agg(F.count("*").alias("shared"))
-    close = F.greatest(F.length("h"), F.length("f")) * least <= F.least(F.length("h"), F.length("f")) * (2 - least)  # the ratio is 2 M / (sum of lengths)
-    met = met.where(close & (F.col("shared") * 3 >= F.least(F.length("h"), F.length("f")) - 1))
-    scored = met.withColumn("ratio", gestalt_ratio("h", "f")).where(F.col("ratio") >= least)
-    best = scored.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "form")).alias("b")).select("name", F.col("b.form").alias("repaired"))
+    near = similar_pairs(todo, "h", forms, "f", least)
+    near = todo.select("name", "h", F.col("words").alias("own")).join(near.select(F.col("left").alias("h"), F.col("right").alias("f"), "ratio"), "h")
+    near = near.join(forms, "f").where("words = 0 OR words = own")
+    best = near.groupBy("name").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "form")).alias("b")).select("name", F.col("b.form").alias("repaired"))
     done = right.unionByName(best)
     return asked.select(F.col(name).alias("name")).distinct().join(done, "name", "left").select("name", F.coalesce("repaired", "name").alias("repaired"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.functions.python import gestalt_ratio, repair_keys
+from tessella.functions.python import repair_keys
 from tessella.functions.text import SOUNDS, fold, lay_form, phonetic, sql_fold, strength, term_key
 from tessella.operators import normalize as N
 from tessella.operators import predicates as P
 from tessella.operators import understanding as U
+from tessella.operators.similarity import similar_pairs
 from tessella.plans.registry import query
 from tessella.sources.tables import table
 
@@ -150,12 +151,11 @@ def name_fragments(spark, root):
 
 @query("fuzzy_names")
 def fuzzy_names(spark, root):
-    """Distinct name words similar to misspelt ones; only words whose length is close are compared."""
+    """Distinct name words similar to misspelt ones, among words of close length."""
     words = table(spark, root, "part").select(F.explode(F.regexp_extract_all(phonetic("p_name"), F.lit("[a-z0-9]+"), F.lit(0))).alias("word")).distinct()
     asked = words.where(F.length("word") >= 4).select(F.concat(F.substring("word", 1, 2), F.lit("e"), F.substring("word", 3, 1000)).alias("q"))
-    # one vocabulary of words against another: their number is the vocabulary's, and the length makes the key
-    near = asked.withColumn("n", F.explode(F.sequence(F.length("q") - F.greatest(F.lit(3), F.floor(F.length("q") / 2).cast("int")), F.length("q") + F.greatest(F.lit(3), F.length("q"))))).join(words.withColumn("n", F.length("word")), "n").where(U.length_band(F.col("word"), F.col("q")))
-    return near.withColumn("ratio", F.round(gestalt_ratio("q", "word"), 10)).where("ratio >= 0.75").select("q", "word", "ratio")
+    near = similar_pairs(asked, "q", words, "word", 0.75).select(F.col("left").alias("q"), F.col("right").alias("word"), F.round("ratio", 10).alias("ratio"))
+    return near.where(U.length_band(F.col("word"), F.col("q")))
 
 
 @query("typo_anti_join", "SELECT DISTINCT w AS word FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) WHERE w NOT IN (SELECT split_part(p_name, ' ', 1) FROM part WHERE p_size > 45)")
