@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import fold
 from tessella.operators.similarity import contained_in, similar_pairs
+from tessella.sources.tables import written
 
 SECTIONS = ("attributes", "indication", "contraindication", "adverse", "dosing")
 ANSWER = "sections array<string>, confidence string, name string, substance string, strength string, freq_rank_max int, rx boolean, reimbursed boolean"
@@ -42,9 +43,10 @@ def repaired_names(asked: DataFrame, name: str, registry: DataFrame, least: floa
     whole = registry.select(F.col("name").alias("form")).where("form IS NOT NULL").distinct()
     words = q.select("words").distinct()  # a handful of word counts
     heads = whole.crossJoin(F.broadcast(words)).select(F.array_join(F.slice(F.split("form", " "), F.lit(1), F.col("words")), " ").alias("form"), "words")
-    forms = whole.withColumn("words", F.lit(0)).unionByName(heads).distinct().withColumn("f", fold("form"))
+    forms = written(whole.withColumn("words", F.lit(0)).unionByName(heads).distinct().withColumn("f", fold("form")), "name-forms")
     right = q.join(contained_in(q, "h", forms.where("words = 0"), "f").withColumnRenamed("part", "h"), "h", "left_semi").select("name", F.col("name").alias("repaired"))
-    todo = q.join(right.select("name"), "name", "left_anti")
+    right = written(right, "right-names")
+    todo = written(q.join(right.select("name"), "name", "left_anti"), "unknown-names")
     near = similar_pairs(todo, "h", forms, "f", least)
     near = todo.select("name", "h", F.col("words").alias("own")).join(near.select(F.col("left").alias("h"), F.col("right").alias("f"), "ratio"), "h")
     near = near.join(forms, "f").where("words = 0 OR words = own")

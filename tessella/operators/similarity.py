@@ -60,8 +60,8 @@ def similar_pairs(left: DataFrame, left_col: str, right: DataFrame, right_col: s
     return met.select("left", "right").distinct().withColumn("ratio", gestalt_ratio("left", "right")).where(F.col("ratio") >= least)
 
 
-def contained_in(parts: DataFrame, part_col: str, wholes: DataFrame, whole_col: str, gram: int = 3) -> DataFrame:
-    """Rows (part): the distinct strings of ``parts`` that occur somewhere in a string of ``wholes``.
+def occurrences(parts: DataFrame, part_col: str, wholes: DataFrame, whole_col: str, gram: int = 3) -> DataFrame:
+    """Rows (part, whole): the distinct strings of ``parts`` with each distinct string of ``wholes`` that they occur in.
 
     One piece of each part, the one in the fewest wholes, is looked up among the pieces of the wholes by equality; only those that meet
     are searched. Strings shorter than ``gram`` are pieces themselves.
@@ -72,7 +72,12 @@ def contained_in(parts: DataFrame, part_col: str, wholes: DataFrame, whole_col:
     sizes = p.select("k").distinct()  # at most ``gram`` rows
     held = w.crossJoin(F.broadcast(sizes)).where(F.length("whole") >= F.col("k")).select("whole", F.explode(pieces(F.col("whole"), F.col("k"))).alias("piece"))
     often = held.groupBy("piece").agg(F.count("*").alias("n"))
-    asked = p.select("part", F.explode(pieces(F.col("part"), F.col("k"))).alias("piece"))
-    chosen = asked.join(often, "piece").groupBy("part").agg(F.min(F.struct("n", "piece")).alias("m"), F.count("*").alias("met")).select("part", "met", F.col("m.piece").alias("piece"))
-    whole_known = chosen.join(p.select("part", F.size(pieces(F.col("part"), F.col("k"))).alias("all")), "part").where("met = all").select("part", "piece")  # else no whole has all its pieces
-    return whole_known.join(held, "piece").where(F.contains("whole", "part")).select("part").distinct()
+    cut = p.select("part", pieces(F.col("part"), F.col("k")).alias("pieces")).select("part", F.size("pieces").alias("all"), F.explode("pieces").alias("piece"))
+    chosen = cut.join(often, "piece").groupBy("part", "all").agg(F.min(F.struct("n", "piece")).alias("m"), F.count("*").alias("met"))
+    chosen = chosen.where("met = all").select("part", F.col("m.piece").alias("piece"))  # else some piece is in no whole
+    return chosen.join(held, "piece").where(F.contains("whole", "part")).select("part", "whole")
+
+
+def contained_in(parts: DataFrame, part_col: str, wholes: DataFrame, whole_col: str) -> DataFrame:
+    """Rows (part): the distinct strings of ``parts`` that occur somewhere in a string of ``wholes``."""
+    return occurrences(parts, part_col, wholes, whole_col).select("part").distinct()

@@ -132,22 +132,53 @@ def name_pattern(question: Column) -> tuple[Column, Column, Column]:
     return kind, text, F.length(text) >= 3
 
 
+def dictionary_trie(dictionary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The expressions (expr) as a trie over words: edges (node, prefix, child) and ends (node, expr). The root is the empty string.
+
+    A node is named by the words that lead to it, one space between them. Expressions without words are left out.
+    """
+    keys = dictionary.select("expr", tokens("expr").alias("k")).where(F.size("k") > 0).distinct()
+    path = lambda i: F.array_join(F.slice("k", F.lit(1), i), " ")
+    steps = F.transform(F.sequence(F.lit(1), F.size("k")), lambda i: F.struct(path(i - 1).alias("node"), F.get("k", i - 1).alias("prefix"), path(i).alias("child")))
+    return keys.select(F.explode(steps).alias("x")).select("x.*").distinct(), keys.select(F.array_join("k", " ").alias("node"), "expr")
+
+
+def trie_matches(questions: DataFrame, id_col: str, text_col: str, dictionary: DataFrame) -> DataFrame:
+    """Rows (id, expr): expressions whose words are prefixes of consecutive words of the question.
+
+    The trie is walked a level at a time: where a walk stands, the prefixes of the next word meet the edges by
+    equality, from every word of a question at once. There are as many levels as the longest expression has words.
+    """
+    edges, ends = dictionary_trie(dictionary)
+    size = edges.agg(F.max(F.size(F.split("child", " "))).alias("levels"), F.max(F.length("prefix")).alias("longest")).first()
+    words = questions.select(F.col(id_col).alias("id"), F.posexplode(tokens(text_col)).alias("pos", "word"))
+    begun = F.transform(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(size.longest or 1))), lambda n: F.left("word", n))
+    prefixes = words.select("id", "pos", F.explode(begun).alias("prefix"))
+    at = None
+    found = []
+    for _ in range(size.levels or 0):
+        standing = prefixes.withColumn("node", F.lit("")) if at is None else at.join(prefixes, ["id", "pos"])
+        at = standing.join(edges, ["node", "prefix"]).select("id", (F.col("pos") + 1).alias("pos"), F.col("child").alias("node")).distinct()
+        found.append(at.select("id", "node"))
+    if not found:
+        return words.select("id", F.lit("").alias("expr")).limit(0)
+    nodes = found[0]
+    for more in found[1:]:
+        nodes = nodes.unionByName(more)
+    return nodes.join(ends, "node").select("id", "expr").distinct()
+
+
 def expand(questions: DataFrame, id_col: str, text_col: str, dictionary: DataFrame, limit: int = 4) -> DataFrame:
     """(id, variants): the question first, then wordings whose key's words are prefixes of consecutive words of it.
 
-    ``dictionary`` has (expr, wording, pos) and is broadcast: it is user-edited, and its size is checked by its editor
-    (at most four wordings an expression). Longer keys come first, equal lengths by key.
+    ``dictionary`` has (expr, wording, pos); of any size, as questions meet it through ``trie_matches``. Longer keys come
+    first, equal lengths by key. ``id_col`` tells questions apart; a null text has itself as its only variant.
     """
-    d = dictionary.select("expr", "wording", "pos", tokens("expr").alias("k")).where(F.size("k") > 0)
-    q = questions.select(id_col, F.col(text_col).alias("__q"), tokens(text_col).alias("w"))
-    at = F.exists(
-        F.sequence(F.lit(1), F.greatest(F.size("w") - F.size("k") + 1, F.lit(1))),
-        lambda i: F.forall(F.sequence(F.lit(1), F.size("k")), lambda j: F.coalesce(F.startswith(F.get("w", i + j - 2), F.get("k", j - 1)), F.lit(False))),
-    )
-    hit = q.join(F.broadcast(d), at, "left")
-    found = hit.groupBy(id_col, "__q").agg(F.array_sort(F.collect_list(F.when(F.col("expr").isNotNull(), F.struct((-F.length("expr")).alias("l"), "expr", "pos", "wording")))).alias("f"))
-    variants = F.array_distinct(F.concat(F.array("__q"), F.transform("f", lambda x: x["wording"])))
-    return found.select(id_col, F.slice(variants, 1, limit + 1).alias("variants"))
+    hits = trie_matches(questions, id_col, text_col, dictionary).join(dictionary.select("expr", "wording", "pos"), "expr")
+    found = hits.groupBy(F.col("id").alias(id_col)).agg(F.array_sort(F.collect_list(F.struct((-F.length("expr")).alias("l"), "expr", "pos", "wording"))).alias("f"))
+    more = F.coalesce(F.transform("f", lambda x: x["wording"]), F.array().cast("array<string>"))
+    variants = F.array_distinct(F.concat(F.array(text_col), more))
+    return questions.select(id_col, text_col).join(found, id_col, "left").select(id_col, F.slice(variants, 1, limit + 1).alias("variants"))
 
 
 def name_fragments(names: DataFrame, id_col: str, name_col: str, least: int = 3) -> DataFrame:

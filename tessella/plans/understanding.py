@@ -9,7 +9,7 @@ from tessella.functions.text import SOUNDS, fold, lay_form, phonetic, sql_fold,
 from tessella.operators import normalize as N
 from tessella.operators import predicates as P
 from tessella.operators import understanding as U
-from tessella.operators.similarity import similar_pairs
+from tessella.operators.similarity import occurrences, similar_pairs
 from tessella.plans.registry import query
 from tessella.sources.tables import table
 
@@ -198,7 +198,8 @@ def safety_net(spark, root):
     """Class prefixes whose terms occur in the question; their rows are counted apart from what search itself finds."""
     m = spark.createDataFrame([("ECONOMY", "Brand#1"), ("PROMO", "Brand#2"), ("STANDARD", "Brand#3"), ("SMALL", "Brand#4")], "term string, prefix string")
     q = table(spark, root, "customer").select("c_custkey", F.upper(F.concat("c_mktsegment", F.lit(" economy promo"))).alias("q"))
-    hit = q.join(F.broadcast(m), F.contains("q", "term"))  # a map of four rows
+    met = occurrences(m, "term", q, "q").select(F.col("part").alias("term"), F.col("whole").alias("q"))
+    hit = q.join(met, "q").join(m, "term")
     parts = table(spark, root, "part").select(F.substring("p_brand", 1, 7).alias("prefix"), "p_partkey").groupBy("prefix").agg(F.count("*").alias("n"))
     return hit.join(parts, "prefix").select("c_custkey", "prefix", "n")
 
