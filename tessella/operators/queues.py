@@ -38,13 +38,6 @@ def batch_number(position: Column, size: int) -> Column:
     return F.floor((position - 1) / size) + 1
 
 
-def packed(rows: DataFrame, by: list[str], order: list, weight: str, cap: float) -> DataFrame:
-    """Add ``running`` and ``batch``: rows in order, a new batch each time the running total passes a multiple of ``cap``."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = F.sum(weight).over(w)
-    return rows.withColumn("running", running).withColumn("batch", F.floor((F.col("running") - F.col(weight)) / cap) + 1)
-
-
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """The latest row per key over both; at equal versions the new row wins."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))

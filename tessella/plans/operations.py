@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from tessella.functions.text import cost, plural
 from tessella.operators import queues as Q
+from tessella.operators.filling import filled
 from tessella.plans.registry import query
 from tessella.sources.tables import table
 from tessella.streaming import runlog
@@ -38,13 +39,22 @@ def interleave_1_10(spark, root):
     return out.select("o_orderkey", "position", Q.batch_number(F.col("position"), 200).alias("batch"))
 
 
-@query("pack_batches", """WITH r AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity, sum(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING) AS running FROM lineitem)
-SELECT l_suppkey, l_orderkey, l_linenumber, running, floor((running - l_quantity) / 500)::BIGINT + 1 AS batch, round((l_quantity * 100 * 0.15 + l_quantity * 30 * 0.6) / 1000000 * 0.5, 12) AS est_usd FROM r WHERE running <= 5000""")
+_REQUESTS = """SELECT *, (l_quantity * 100 * 0.15 + l_quantity * 30 * 0.6) / 1000000 * 0.5 AS usd, l_linenumber = 7 AS bad FROM lineitem"""
+
+
+@query("pack_batches", f"""WITH RECURSIVE r AS ({_REQUESTS}), q AS MATERIALIZED (SELECT *, row_number() OVER w AS i, sum(l_quantity) OVER (w ROWS UNBOUNDED PRECEDING) AS upto FROM r WHERE NOT bad WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice)),
+b(batch, first_, sofar) AS (SELECT 1, 1::BIGINT, 0::DOUBLE UNION ALL
+  SELECT batch + 1, n.i, n.upto - n.l_quantity FROM b, LATERAL (SELECT i, upto, l_quantity FROM q WHERE i > first_ AND (upto > sofar + 5000 OR i >= first_ + 150) ORDER BY i LIMIT 1) n),
+s AS (SELECT q.*, batch FROM q ASOF JOIN b ON q.i >= b.first_), c AS (SELECT batch, sum(sum(usd)) OVER (ORDER BY batch) AS spent FROM s GROUP BY batch)
+SELECT l_orderkey, l_linenumber, l_quantity, batch::BIGINT AS batch, CASE WHEN spent <= (SELECT 0.6 * sum(usd) FROM r) THEN 'sent' ELSE 'waiting' END AS state, round(usd, 12) AS est_usd FROM s JOIN c USING (batch)
+UNION ALL SELECT l_orderkey, l_linenumber, l_quantity, NULL, 'fault', round(usd, 12) FROM r WHERE bad""")
 def pack_batches(spark, root):
-    li = table(spark, root, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
-    out = Q.packed(li, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"], "l_quantity", 500).where("running <= 5000")
-    usd = F.round(cost(F.col("l_quantity") * 100, F.col("l_quantity") * 30, 0.15, 0.6, 0.5), 12)
-    return out.select("l_suppkey", "l_orderkey", "l_linenumber", "running", "batch", usd.alias("est_usd"))
+    """Requests (lines) filled into batches of 5,000 tokens and 150 rows at most, as far as three fifths of the money go; every seventh line can't be sent."""
+    li = table(spark, root, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    li = li.withColumn("usd", cost(F.col("l_quantity") * 100, F.col("l_quantity") * 30, 0.15, 0.6, 0.5))
+    total = li.agg(F.sum("usd")).first()[0]
+    out = filled(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_extendedprice"], "l_quantity", 5000, 150, fault=F.col("l_linenumber") == 7, cost="usd", ceiling=0.6 * total)
+    return out.select("l_orderkey", "l_linenumber", "l_quantity", "batch", "state", F.round("usd", 12).alias("est_usd"))
 
 
 # Upserts ---------------------------------------------------------------------------------------------------------
