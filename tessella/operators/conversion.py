@@ -30,14 +30,30 @@ def first_page(headings: DataFrame, doc: str, heading: str, page: str) -> DataFr
 
 
 def heading_pages(headings: DataFrame, pages: DataFrame, doc: str) -> DataFrame:
-    """(doc, heading, page): the first page whose text holds the start of each heading; headings (doc, heading), pages (doc, page, text).
+    """(doc, heading, page): where the headings of a document stand; headings (doc, pos, heading), pages (doc, page, text).
 
-    Pages of one document meet its headings; a heading that is on no page has no row.
+    Headings are looked up in order, each from the page of the one before on, so that a heading which also occurs earlier
+    gets the page it stands on. A heading that isn't found leaves the page where it was and has no row; one that comes several
+    times keeps its first page. Only the numbers of the pages that hold a heading's start (40 characters) are
+    gathered per document; one fold over them carries the page.
     """
     norm = lambda c: F.lower(squeeze(c))
-    h = headings.select(doc, "heading", F.substring(norm("heading"), 1, 40).alias("start")).where("start != ''").distinct()
+    h = headings.select(doc, "pos", "heading", F.substring(norm("heading"), 1, 40).alias("start")).where("start != ''")
     p = pages.select(doc, "page", norm("text").alias("text"))
-    return h.join(p, doc).where(F.contains("text", "start")).groupBy(doc, "heading").agg(F.min("page").alias("page"))
+    held = h.select(doc, "start").distinct().join(p, doc).where(F.contains("text", "start")).groupBy(doc, "start").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+    entry = F.struct("pos", "heading", "pages")
+    by_doc = h.join(held, [doc, "start"]).groupBy(doc).agg(F.array_sort(F.collect_list(entry)).alias("h"))
+    kind = f"struct<at:{dict(pages.dtypes)['page']},found:array<struct<heading:string,page:{dict(pages.dtypes)['page']}>>>"
+    begun = F.struct(F.lit(None).alias("at"), F.array().alias("found")).cast(kind)
+
+    def step(state: Column, x: Column) -> Column:
+        page = F.get(F.filter(x["pages"], lambda n: F.coalesce(n >= state["at"], F.lit(True))), F.lit(0))
+        new = F.struct(x["heading"].alias("heading"), page.alias("page"))
+        seen = page.isNull() | F.exists(state["found"], lambda f: f["heading"] == x["heading"])
+        return F.struct(F.coalesce(page, state["at"]).alias("at"), F.when(seen, state["found"]).otherwise(F.concat(state["found"], F.array(new))).alias("found")).cast(kind)
+
+    found = by_doc.select(doc, F.explode(F.aggregate("h", begun, step, lambda s: s["found"])).alias("f"))
+    return found.select(doc, "f.heading", "f.page")
 
 
 def false_headings(lines: DataFrame, emphasised: DataFrame, doc: str, line: str, known: str) -> DataFrame:

@@ -190,15 +190,18 @@ def section_page(spark, root):
     return C.first_page(h, "conv_id", "heading", "turn")
 
 
-@query("heading_page", """WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM conversations), h AS (SELECT DISTINCT conv_id, split_part(x, ' ', 1) || ' ' || split_part(x, ' ', 2) AS heading FROM t WHERE turn % 3 = 1)
-SELECT conv_id, heading, min(turn) AS page FROM h JOIN t USING (conv_id) WHERE contains(lower(x), substr(lower(trim(heading)), 1, 40)) AND trim(heading) <> '' GROUP BY 1, 2""")
+@query("heading_page", """WITH RECURSIVE t AS MATERIALIZED (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM conversations),
+h AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, heading) AS i, heading FROM (SELECT conv_id, turn, split_part(x, ' ', 1 + turn % 2) AS heading FROM t) WHERE heading <> ''),
+r(conv_id, i, cursor_, heading, page) AS (SELECT DISTINCT conv_id, 0::BIGINT, -1::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM h UNION ALL
+  SELECT r.conv_id, h.i, coalesce(m.page, r.cursor_), h.heading, m.page FROM r JOIN h ON h.conv_id = r.conv_id AND h.i = r.i + 1,
+  LATERAL (SELECT min(turn)::BIGINT AS page FROM t WHERE t.conv_id = r.conv_id AND turn >= r.cursor_ AND contains(lower(x), substr(lower(h.heading), 1, 40))) m)
+SELECT conv_id, heading, arg_min(page, i) AS page FROM r WHERE page IS NOT NULL GROUP BY 1, 2""")
 def heading_page(spark, root):
-    """Turns stand for pages: each heading is looked up in the texts of its own document."""
+    """Turns stand for pages, a word of each turn for a heading: short words occur on many pages, and the order decides."""
     from tessella.functions.text import squeeze
 
-    c = table(spark, root, "conversations").select("conv_id", F.col("turn").alias("page"), squeeze("text").alias("text"))
-    two = F.concat(F.split_part("text", F.lit(" "), F.lit(1)), F.lit(" "), F.split_part("text", F.lit(" "), F.lit(2)))
-    h = c.where("page % 3 = 1").select("conv_id", two.alias("heading"))
+    c = table(spark, root, "conversations").select("conv_id", F.col("turn").cast("long").alias("page"), squeeze("text").alias("text"))
+    h = c.select("conv_id", F.col("page").alias("pos"), F.split_part("text", F.lit(" "), (F.col("page") % 2 + 1).cast("int")).alias("heading"))
     return C.heading_pages(h, c, "conv_id").select("conv_id", "heading", "page")
 
 
