@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import squeeze
 
+#: fixed values: words that are no beginning of a broken word
+STAND_ALONE = {
+    "a", "i", "o", "u", "k", "s", "v", "z", "do", "na", "po", "za", "ve", "se", "ke", "je", "od", "ze", "to", "co", "by", "ne", "tj", "mg", "ml", "kg",
+    "aj", "viz", "ma", "byt", "pro", "let", "az", "aby", "vsak", "tzv", "cca",
+}
+#: fixed values: letters that a converter leaves alone between spaces
+LONE_LETTERS = "áčďéěíňřšťúůýžÁČĎÉĚÍŇŘŠŤÚŮÝŽ"
+LONGEST_START, SHORTEST_WHOLE, STANDS_FROM = 6, 4, 3
 LEAST_COVERAGE, LEAST_MOVED, MOVED_SHARE = 0.9, 3, 0.02
 
 
@@ -81,3 +89,32 @@ def verdict(coverage: Column, moved: Column, words: Column) -> tuple[Column, Col
         )
     )
     return F.when(F.size(reasons) > 0, "suspicious").otherwise("ok"), reasons
+
+
+def rejoined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text): words that a converter broke in two are whole again, on the evidence of the document itself.
+
+    First lone accented letters take back the letters on both sides. Then each word of up to six letters with one space after it
+    is tried with the next word (of two letters or more; a word is tried once, so the second word begins no pair):
+    they are one if the document has that whole, of four letters or more, elsewhere, unless the first is a word of its
+    own: on the list, of four letters or more, or one of two or three that stands in the document three times. The document's vocabulary is a
+    table by (id, word), which the pairs meet by equality. ``id_col`` tells documents apart; null texts stay null.
+    """
+    lone = rf"(?<=\p{{L}})\s([{LONE_LETTERS}])\s(?=\p{{L}})"
+    text = F.regexp_replace(F.regexp_replace(text_col, lone, "$1"), lone, "$1")
+    rows = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(text, F.lit(r"(\p{L}+|\P{L}+)")).alias("parts"))
+    is_word = lambda x: x.rlike(r"^\p{L}")
+    words = rows.select("id", F.explode(F.filter("parts", is_word)).alias("word")).groupBy("id", F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    part = lambda i: F.get("parts", i)
+    pair = lambda i: is_word(part(i)) & (F.length(part(i)) <= LONGEST_START) & (part(i + 1) == " ") & (F.length(part(i + 2)) >= 2)
+    at = F.sequence(F.lit(0), F.size("parts") - 1)
+    tried = F.filter(F.when(F.size("parts") > 0, at), lambda i: F.coalesce(pair(i), F.lit(False)))
+    # of words in a row the first takes the second with it: a pair is tried unless the pair two places before it was
+    taken = F.aggregate(tried, F.array().cast("array<int>"), lambda took, i: F.when(F.coalesce(F.try_element_at(took, F.lit(-1)) == i - 2, F.lit(False)), took).otherwise(F.concat(took, F.array(i))))
+    pairs = rows.select("id", F.explode(taken).alias("i"), "parts").select("id", "i", F.lower(part(F.col("i"))).alias("start"), F.lower(F.concat(part(F.col("i")), part(F.col("i") + 2))).alias("word"))
+    pairs = pairs.where((F.length("word") >= SHORTEST_WHOLE) & ~F.col("start").isin(*sorted(STAND_ALONE)))
+    own = words.where((F.length("word") >= SHORTEST_WHOLE) | ((F.length("word") >= 2) & (F.col("n") >= STANDS_FROM))).select("id", F.col("word").alias("start"))
+    whole = pairs.join(words.select("id", "word"), ["id", "word"]).join(own, ["id", "start"], "left_anti")
+    gaps = whole.groupBy("id").agg(F.collect_set(F.col("i") + 1).alias("gaps"))
+    kept = F.filter("parts", lambda p, i: ~F.array_contains(F.coalesce("gaps", F.array().cast("array<int>")), i))
+    return rows.join(gaps, "id", "left").select(F.col("id").alias(id_col), F.array_join(kept, "").alias("text"))

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.functions.python import repair_spacing
 from tessella.functions.text import folder_safe, joined_term, registration_base, squeeze, sql_fold, tokens
 from tessella.operators import ages as A
+from tessella.operators import conversion as C
 from tessella.operators import quality as Q
 from tessella.operators import sections as S
 from tessella.plans.registry import query
@@ -99,7 +99,8 @@ def coverage_ratio(spark, root):
 
 @query("repair_spacing")
 def repair(spark, root):
-    return table(spark, root, "documents", "doc_id", "text").select("doc_id", F.length(repair_spacing("text")).alias("chars"))
+    """Lengths of texts after broken words are whole again."""
+    return C.rejoined(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", F.length("text").alias("chars"))
 
 
 # Items -----------------------------------------------------------------------------------------------------------

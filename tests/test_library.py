@@ -9,6 +9,7 @@ from tessella.functions import python as py
 from tessella.functions import text as T
 from tessella.functions.vectors import best_cosine, cosine, vector
 from tessella.operators import ages as A
+from tessella.operators import conversion as C
 from tessella.operators import normalize as N
 from tessella.operators import predicates as P
 from tessella.operators import quality as Q
@@ -132,7 +133,13 @@ def test_gestalt_and_cover_density(spark):
     t = spark.createDataFrame([(["a", "x", "b", "b"],), (["a"],), (None,)], "w array<string>")
     assert [r[0] for r in t.select(py.cover_density(["a", "b"])("w")).collect()] == pytest.approx([1 / 3, 0, 0])
     assert py._covers([[0, 5], [2, 6]]) == [(0, 2), (2, 5), (5, 6)]
-    assert py.repaired("zp ů sob") == "způsob" and py.repaired("P acienti a Pacienti a pacienti") == "Pacienti a Pacienti a pacienti" and py.repaired(None) is None
+
+
+def test_broken_words(spark):
+    texts = ["zp ů sob", "P acienti a Pacienti a pacienti", None, "", "srd ecni srdecni na sledky nasledky", "kous ek ek kousek vel ky 3 vel ky\nvel vel velky", "ab cd abcd ab ab", "lé\té k lékař lé kař"]
+    want = ["způsob", "Pacienti a Pacienti a pacienti", None, "", "srdecni srdecni na sledky nasledky", "kous ek ek kousek vel ky 3 vel ky\nvel vel velky", "ab cd abcd ab ab", "léék lékař lékař"]
+    got = C.rejoined(spark.createDataFrame(list(enumerate(texts)), "id int, t string"), "id", "t").collect()
+    assert [r.text for r in sorted(got)] == want
 
 
 def test_accents_and_keys(spark):
