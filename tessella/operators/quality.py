@@ -33,6 +33,30 @@ def unify_key(rows: DataFrame, text: str, key: str) -> DataFrame:
     return counts.withColumn("r", F.row_number().over(w)).where("r = 1").select(text, key)
 
 
+def canonical_json(c: Column) -> Column:
+    """One spelling of a JSON value: keys in order at every depth, no white space, arrays as they are; null if it can't be read.
+
+    The value is parsed to a variant, which holds the fields of an object by key. Objects that name a key twice can't be read.
+    It is parsed as the only element of an array, so what stands after it is an error and not left out.
+    """
+    only = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    text = F.to_json(only)
+    return F.when((text != "[]") & F.variant_get(only, "$[1]", "variant").isNull(), F.substring(text, F.lit(2), F.length(text) - 2))
+
+
+def unique_objects(rows: DataFrame, by: list[str], json_col: str, order: str) -> DataFrame:
+    """The first row, by ``order``, of each distinct object within ``by``; adds ``canonical`` and ``broken``.
+
+    Objects are equal whatever the order of their keys. What isn't JSON stays, every row of it, and is marked; nulls stay
+    too, unmarked. Rows meet by a hash of the canonical form and by the form itself.
+    """
+    marked = rows.withColumn("canonical", canonical_json(F.col(json_col))).withColumn("broken", F.col("canonical").isNull() & F.col(json_col).isNotNull())
+    first = marked.where("canonical IS NOT NULL").withColumn("__h", F.xxhash64("canonical"))
+    w = Window.partitionBy(*by, "__h", "canonical").orderBy(order)
+    kept = first.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r", "__h")
+    return kept.unionByName(marked.where("canonical IS NULL"))
+
+
 def changed_keys(rows: DataFrame, id_col: str, text: str, key: str) -> DataFrame:
     """(id, old, new): rows whose key differs from their text's unified one."""
     best = unify_key(rows, text, key).select(text, F.col(key).alias("new"))

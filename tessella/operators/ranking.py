@@ -175,7 +175,6 @@ def exact_first(score: Column, name: Column) -> list[Column]:
     return [F.desc(exact), F.when(exact, name).asc_nulls_last(), F.desc(score), name]
 
 
-def relative_score(score: str) -> Column:
+def relative_to(score: Column, best: Column) -> Column:
     """Share of the best score in percent; zero if the best is not positive."""
-    best = F.max(score).over(Window.partitionBy())
-    return F.when(best > 0, F.round(F.col(score) / best * 100, 4)).otherwise(F.lit(0.0))
+    return F.when(best > 0, F.round(score / best * 100, 4)).otherwise(F.lit(0.0))

@@ -59,8 +59,8 @@ SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS position, kept < whole AS
 def whole_section(spark, root):
     """One product and one section: the section is read as a whole in document order; the flag tells if another filter narrowed it."""
     d = table(spark, root, "documents", "doc_id", "lang", "source", "n_chars")
-    code = d.agg(F.min("source")).first()[0]
-    return R.read_section(d.where((F.col("source") == code) & (F.col("lang") == "en")), F.col("n_chars") >= 200, "doc_id").select("doc_id", F.col("position").cast("long").alias("position"), "truncated")
+    code = d.agg(F.min("source").alias("source"))
+    return R.read_section(d.where("lang = 'en'").join(F.broadcast(code), "source"), F.col("n_chars") >= 200, "doc_id").select("doc_id", F.col("position").cast("long").alias("position"), "truncated")
 
 
 _GROUPS = "WITH g AS (SELECT source, min(doc_id) AS first_doc, max(doc_id % 97) / 97.0::DOUBLE AS similarity FROM documents GROUP BY 1)"

@@ -9,6 +9,7 @@ from tessella.operators import ages as A
 from tessella.operators import conversion as C
 from tessella.operators import quality as Q
 from tessella.operators import sections as S
+from tessella.operators import trimming as TR
 from tessella.plans.registry import query
 from tessella.sources.tables import table
 
@@ -103,6 +104,38 @@ def repair(spark, root):
     return C.rejoined(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", F.length("text").alias("chars"))
 
 
+@query("unique_objects", """WITH o AS (SELECT p_partkey, p_brand, p_size % 5 AS a, p_name[1] AS b, p_size % 3 AS c, p_partkey % 11 = 0 AS bad FROM part)
+SELECT p_partkey, CASE WHEN bad THEN NULL ELSE '{"a":' || a || ',"b":{"x":["' || b || '",' || c || '],"y":null}}' END AS canonical, bad AS broken FROM o
+QUALIFY bad OR row_number() OVER (PARTITION BY p_brand, a, b, c, bad ORDER BY p_partkey) = 1""")
+def unique_objects(spark, root):
+    """Objects of each brand, their keys in two orders at two depths, and some that aren't JSON."""
+    p = table(spark, root, "part", "p_partkey", "p_brand", "p_name", "p_size")
+    a, b, c = (F.col("p_size") % 5).cast("string"), F.substring("p_name", 1, 1), (F.col("p_size") % 3).cast("string")
+    x = F.concat(F.lit('"x": ["'), b, F.lit('", '), c, F.lit("]"))
+    one = F.concat(F.lit('{"a": '), a, F.lit(', "b": {'), x, F.lit(', "y": null}}'))
+    two = F.concat(F.lit('{ "b":{"y":null,'), x, F.lit('},\n"a":'), a, F.lit("}"))
+    text = F.when(F.col("p_partkey") % 11 == 0, F.concat(one, F.lit(","))).when(F.col("p_partkey") % 2 == 0, one).otherwise(two)
+    return Q.unique_objects(p.withColumn("item", text), ["p_brand"], "item", "p_partkey").select("p_partkey", "canonical", "broken")
+
+
+def sections_to_trim(spark, root):
+    """Texts as lines of a section, the language deciding which, with headings and frequency lines planted by the id."""
+    d = table(spark, root, "documents", "doc_id", "text", "lang")
+    planted = F.array(*map(F.lit, ["## Dospělí\nDěti od 2 let\n", "Poruchy kůže\n\nČasté: 5 mg\n", "| a |\n|---|\n| 1 |\n", "## Zvláštní populace\n"]))
+    lines = F.regexp_replace("text", r"\. ", ".\n")
+    half = F.floor(F.length(lines) / 2).cast("int")
+    text = F.concat(F.lit("Úvod.\n"), F.get(planted, (F.col("doc_id") % 4).cast("int")), F.substr(lines, F.lit(1), half), F.lit("\nPediatrická populace; 2 tablety\n"), F.substr(lines, half + 1), F.lit("\nHlášení podezření na účinky\nkonec"))
+    section = F.when(F.col("lang") == "de", "adverse").when(F.col("lang") == "en", "dosing").when(F.col("lang") == "fr", "indication").otherwise("other")
+    return d.select("doc_id", section.alias("section"), text.alias("text"))
+
+
+@query("section_core")
+def section_core(spark, root):
+    """The core of every section, as it goes to extraction."""
+    core = TR.core(F.col("text"), F.col("section"), trim_dosing=True)
+    return sections_to_trim(spark, root).select("doc_id", "section", core.alias("core")).select("doc_id", "section", F.length("core").alias("chars"), F.crc32(F.col("core").cast("binary")).alias("crc"))
+
+
 # Items -----------------------------------------------------------------------------------------------------------
 
 

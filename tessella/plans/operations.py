@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from tessella.functions.text import cost, plural
 from tessella.operators import queues as Q
 from tessella.operators.filling import filled
+from tessella.operators.selection import at_ranks
 from tessella.plans.registry import query
 from tessella.sources.tables import table
 from tessella.streaming import runlog
@@ -121,19 +122,22 @@ SELECT event_type, round(median(value), 8) AS median, max(value) FILTER (WHERE i
 def latency_percentiles(spark, root):
     """Median, the p90 by index (the floor(0.9 n)-th value) and the maximum."""
     e = table(spark, root, "events", "event_id", "event_type", "value")
-    n = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.5), 8).alias("median"), F.max("value").alias("worst"))
-    ranked = e.withColumn("i", F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id"))).join(F.broadcast(n.select("event_type", "n")), "event_type")
-    p90 = ranked.where(F.col("i") == F.greatest(F.floor(F.col("n") * 0.9), F.lit(1))).select("event_type", F.col("value").alias("p90"))
-    return n.join(p90, "event_type").select("event_type", "median", "p90", "worst")
+    n = e.groupBy("event_type").agg(F.count("value").alias("n"), F.max("value").alias("worst"))
+    ranks = F.array(F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2), F.greatest(F.floor(F.col("n") * 0.9), F.lit(1)).cast("long"))
+    wanted = n.select("event_type", F.posexplode(ranks).alias("which", "rank"))
+    got = at_ranks(e.where("value IS NOT NULL"), "event_type", "value", ["event_id"], wanted).groupBy("event_type").agg(
+        F.round(F.avg(F.when(F.col("which") < 2, F.col("value"))), 8).alias("median"), F.max(F.when(F.col("which") == 2, F.col("value"))).alias("p90")
+    )
+    return got.join(n, "event_type").select("event_type", "median", "p90", "worst")
 
 
 @query("percentile_samples", """WITH r AS (SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS i, count(*) OVER (PARTITION BY lang) AS n FROM documents)
 SELECT lang, p::DOUBLE AS p, doc_id, n_chars FROM r JOIN (VALUES (0.1), (0.5), (0.95)) v(p) ON i = least(floor(n * p::DOUBLE)::BIGINT + 1, n)""")
 def percentile_samples(spark, root):
     d = table(spark, root, "documents", "lang", "doc_id", "n_chars")
-    n = d.groupBy("lang").agg(F.count("*").alias("n")).withColumn("p", F.explode(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.95)))).withColumn("i", F.least(F.floor(F.col("n") * F.col("p")) + 1, F.col("n")))
-    ranked = d.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("n_chars", "doc_id")))
-    return ranked.join(F.broadcast(n), ["lang", "i"]).select("lang", "p", "doc_id", "n_chars")
+    n = d.groupBy("lang").agg(F.count("*").alias("n")).where("lang IS NOT NULL").withColumn("p", F.explode(F.array(F.lit(0.1), F.lit(0.5), F.lit(0.95))))
+    wanted = n.select("lang", "p", F.least(F.floor(F.col("n") * F.col("p")) + 1, F.col("n")).alias("rank"))
+    return at_ranks(d, "lang", "n_chars", ["doc_id"], wanted).select("lang", "p", "doc_id", "n_chars")
 
 
 @query("ema", "SELECT user_id, count(*) AS n, round(list_reduce(list(value ORDER BY ts, event_id), lambda s, x: 0.8 * s + 0.2 * x), 8) AS ema FROM events GROUP BY 1")

@@ -11,7 +11,7 @@ from tessella.functions.text import index_tokens, sql_fold, tokens
 from tessella.functions.vectors import best_cosine, cosine, vector
 from tessella.operators import ranking as R
 from tessella.plans.registry import query
-from tessella.sources.tables import table
+from tessella.sources.tables import table, written
 
 TERMS = ["ention", "thand", "ering", "menteux", "ciones", "heit"]
 _COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {}))"
@@ -43,7 +43,7 @@ def _scored(spark, root, vec_id=7):
 
 
 def _fused(spark, root):
-    s = _scored(spark, root).persist()
+    s = written(_scored(spark, root), "scored")
     f = R.fuse(R.leaderboard(s, "cosine", "doc_id", 100, "sem_rank"), R.leaderboard(s.where("hits > 0"), "hits", "doc_id", 1000, "lex_rank"), "doc_id")
     return f, s
 
@@ -161,11 +161,12 @@ def exact_first_groups(spark, root):
     return g.select("source", F.round("score", 10).alias("score"), F.row_number().over(Window.orderBy(*order)).cast("long").alias("position"))
 
 
-@query("relative_score", _FUSED + "SELECT doc_id, round(cosine / (SELECT max(cosine) FROM r) * 100, 4) AS relative FROM r WHERE cosine > 0.1")
+@query("relative_score", _FUSED + "SELECT doc_id, CASE WHEN (SELECT max(cosine) FROM r) > 0 THEN round(cosine / (SELECT max(cosine) FROM r) * 100, 4) ELSE 0 END AS relative FROM r WHERE cosine > 0.1")
 def relative_score(spark, root):
-    s = _scored(spark, root).persist()
+    s = written(_scored(spark, root).select("doc_id", "cosine"), "scored")
     best = s.agg(F.max("cosine").alias("best"))
-    return s.where("cosine > 0.1").crossJoin(F.broadcast(best)).select("doc_id", F.round(F.col("cosine") / F.col("best") * 100, 4).alias("relative"))
+    share = R.relative_to(F.col("cosine"), F.col("best"))
+    return s.where("cosine > 0.1").crossJoin(F.broadcast(best)).select("doc_id", share.alias("relative"))  # one row
 
 
 @query("empty_reason", _FUSED + """, w AS (SELECT DISTINCT lang FROM documents), c AS (SELECT w.lang, th.t AS threshold, count(r.doc_id) AS filtered, count(CASE WHEN r.cosine >= th.t THEN 1 END) AS passed
@@ -189,6 +190,14 @@ def read_section(spark, root):
     return c.withColumn("position", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long"))
 
 
+def query_blocks(rows, queries, blocks: int = 8, parts: int = 16):
+    """Every row with every query, by equality on a block number of the queries and a part number of the rows: neither side is broadcast, and no task holds more than a part and a block."""
+    block, part = F.pmod(F.xxhash64(queries.columns[0]), F.lit(blocks)), F.pmod(F.xxhash64(rows.columns[0]), F.lit(parts))
+    r = rows.withColumn("__part", part).withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
+    q = queries.withColumn("__block", block).withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
+    return r.join(q.hint("shuffle_hash"), ["__block", "__part"]).drop("__block", "__part")
+
+
 @query("precision_at_k", f"""WITH q AS (SELECT vec_id AS q, label AS ql, embedding AS qe FROM embeddings WHERE vec_id % 50 = 0),
 p AS (SELECT q, ql, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], qe::DOUBLE[]), 12) AS s FROM q CROSS JOIN embeddings e WHERE e.vec_id <> q),
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS r FROM p QUALIFY r <= 5)
@@ -196,7 +205,7 @@ SELECT q AS query_id, count(*) FILTER (WHERE label = ql) AS hits, avg((label = q
 def precision_at_k(spark, root):
     e = table(spark, root, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("truth"), F.col("embedding").alias("qe"))
-    pairs = e.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))  # the stated query set: every fiftieth id
+    pairs = query_blocks(e, q).where(F.col("vec_id") != F.col("query_id"))  # the stated query set: every fiftieth id
     s = pairs.select("query_id", "truth", "label", "vec_id", F.round(cosine(F.col("embedding"), F.col("qe")), 12).alias("s"))
     k = s.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s"), "vec_id"))).where("r <= 5")
     good = (F.col("label") == F.col("truth")).cast("int")
@@ -210,7 +219,7 @@ FROM p CROSS JOIN (VALUES (0.0), (0.1), (0.2), (0.3), (0.4), (0.5), (0.6)) v(t)
 def threshold_sweep(spark, root):
     e = table(spark, root, "embeddings")
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    p = e.join(F.broadcast(q), F.col("vec_id") != F.col("q")).select("q", F.round(cosine(F.col("embedding"), F.col("qe")), 12).alias("s"))
+    p = query_blocks(e.select("vec_id", "embedding"), q).where(F.col("vec_id") != F.col("q")).select("q", F.round(cosine(F.col("embedding"), F.col("qe")), 12).alias("s"))
     t = p.withColumn("threshold", F.explode(F.array(*[F.lit(x / 10) for x in range(7)])))
     kept = F.col("s") >= F.col("threshold")
     return t.groupBy("threshold").agg(F.count_if(kept).alias("rows_kept"), F.countDistinct(F.when(kept, F.col("q"))).alias("queries_answered"))

@@ -89,3 +89,18 @@ def test_cores_by_hand(spark):
     assert got[0].c == "Poruchy imunitního systému\n\nNení známo: hypersenzitivita\nČasté: svědění"
     assert "[Dospělí] - pálení žáhy" not in got[1].c and "[Dospělí] pálení žáhy" in got[1].c and "[Děti od 1 roku a s hmotností >= 10 kg] - reflux" in got[1].c and "\n- jiné" in got[1].c
     assert got[2].c == "Dávkování\n## Starší pacienti\n2 tablety"
+
+
+def test_cores_of_documents(spark):
+    import zlib
+
+    import __spark_entry__ as entry
+    from tessella.plans.documents import sections_to_trim
+
+    sf = "/root/testdata/sf0.001"
+    plain = {"adverse": plain_adverse, "dosing": plain_dosing, "indication": plain_listed, "other": str.strip}
+    want = set()
+    for r in sections_to_trim(spark, sf).collect():
+        core = plain[r.section](r.text) if r.text is not None else None
+        want.add((r.doc_id, r.section, None if core is None else len(core), None if core is None else zlib.crc32(core.encode())))
+    assert set(map(tuple, entry.queries()["section_core"](spark, sf).collect())) == want
