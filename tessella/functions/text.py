@@ -79,6 +79,24 @@ def joined_term(lay: Column, technical: Column, most: int = 60) -> Column:
     return F.when(lay.isNull(), technical).when(show, F.concat(lay, F.lit(" ("), technical, F.lit(")"))).otherwise(lay)
 
 
+def item_text(section: Column, item: Column) -> Column:
+    """The searchable text of an extracted item (JSON): effects and terms as ``lay (technical)``, a dosing as patient, dose and frequency.
+
+    Items of other sections are their JSON. Blank fields count as missing; nothing at all gives an empty text.
+    """
+    at = lambda k: F.nullif(F.trim(F.get_json_object(item, f"$.{k}")), F.lit(""))
+    dosing = F.concat_ws(" ", at("patient"), at("dose"), at("frequency"))
+    effect, term = joined_term(at("lay"), at("effect")), joined_term(at("lay"), at("verbatim"))
+    out = F.when(section == "dosing", dosing).when(section == "adverse", effect).when(section.isin("indication", "contraindication"), term).otherwise(item)
+    return F.when(item.isNotNull(), F.coalesce(out, F.lit("")))
+
+
+def dosing_row(item: Column) -> Column:
+    """A dosing item (JSON) as a struct of the table's four columns; what is missing is empty."""
+    f = F.from_json(item, "patient string, dose string, frequency string, note string")
+    return F.struct(*[F.coalesce(f[k], F.lit("")).alias(k) for k in ("patient", "dose", "frequency", "note")])
+
+
 def strip_fence(c: Column | str) -> Column:
     """A JSON answer without the code fence around it."""
     return F.trim(F.regexp_replace(F.trim(_c(c)), r"^```[a-zA-Z]*\s*|\s*```$", ""))

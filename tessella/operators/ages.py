@@ -70,6 +70,26 @@ def minimum_age(evidence: DataFrame, key: str) -> DataFrame:
     return g.select(key, F.round(age, 2).alias("age_from"), F.when(age.isNull(), unknown).otherwise((age < 18) | (child_yes & ~child_ban)).alias("for_children"))
 
 
+def age_reasons(evidence: DataFrame, key: str) -> DataFrame:
+    """(key, reasons): the audit list of a minimum age, a line for each piece of evidence in its order.
+
+    ``evidence`` has (key, position, part, kind yes/no/null, lo, hi, definite_lo, patient, other_form); ``part`` is the section's number. Evidence of
+    another form is named but doesn't count; evidence that is neither yes nor no has no line. Documents without a line say so.
+    """
+    n = lambda c: F.regexp_replace(F.round(c, 4).cast("double").cast("string"), r"[.]0$", "")
+    who = F.substring(F.coalesce("patient", F.lit("")), 1, 60)
+    span = F.concat(n(F.col("lo")), F.coalesce(F.concat(F.lit("-"), n(F.col("hi"))), F.lit(" and over")))
+    line = (
+        F.when(F.coalesce("other_form", F.lit(False)), F.concat("part", F.lit(" other form, not counted: "), who))
+        .when(F.col("kind") == "no", F.concat("part", F.lit(" no "), span, F.lit(": "), who))
+        .when((F.col("kind") == "yes") & F.col("definite_lo").isNotNull(), F.concat("part", F.lit(" yes from "), n(F.col("definite_lo")), F.lit(": "), who))
+        .when(F.col("kind") == "yes", F.concat("part", F.lit(" yes, no age: "), who))
+    )
+    g = evidence.select(key, F.struct("part", "position", line.alias("line")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("x.line").isNotNull(), F.col("x")))).alias("x"))
+    lines = F.transform("x", lambda x: x["line"])
+    return g.select(key, F.when(F.size("x") > 0, lines).otherwise(F.array(F.lit("no age in the text"))).alias("reasons"))
+
+
 def child_only(names: DataFrame, doses: DataFrame, key: str) -> DataFrame:
     """(key, child_only, reason): products for children only, by their name, or by doses for children and none for others.
 

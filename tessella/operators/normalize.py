@@ -132,3 +132,12 @@ def missing_numbers(value: Column, source: Column) -> Column:
     """Numbers of the value that the source doesn't have, read with and without spaces between thousands."""
     glued = F.regexp_replace(source, r"([0-9]) ([0-9]{3})\b", "$1$2")
     return F.array_except(numbers(value), F.concat(numbers(source), numbers(glued)))
+
+
+#: fixed values: scripts that no Czech text has (Greek letters are used in names of substances)
+FOREIGN_SCRIPT = "[\u0400-\u04ff\u4e00-\u9fff]"
+
+
+def foreign_script(value: Column) -> Column:
+    """Whether a value has letters of a script that it can't have: Cyrillic, or Chinese characters."""
+    return F.coalesce(value.rlike(FOREIGN_SCRIPT), F.lit(False))

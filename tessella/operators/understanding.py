@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import fold, phonetic, tokens
+from tessella.operators.similarity import occurrences
 
 ADULT = 18.0
 # fixed values: patterns over folded text (lower case, no accents)
@@ -181,6 +182,18 @@ def expand(questions: DataFrame, id_col: str, text_col: str, dictionary: DataFra
     return questions.select(id_col, text_col).join(found, id_col, "left").select(id_col, F.slice(variants, 1, limit + 1).alias("variants"))
 
 
+def safety_net(questions: DataFrame, id_col: str, text_col: str, found: DataFrame, terms: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, prefix, n) for questions that found nothing: the classes whose terms occur in them, and how many rows those have.
+
+    ``found`` (id) are the questions with results, which get none; ``terms`` has (term, prefix), ``classes`` a row (prefix) for each row that
+    the search's own filters let through. Terms meet the distinct questions by ``similarity.occurrences``.
+    """
+    empty = questions.select(id_col, F.col(text_col).alias("whole")).join(found.select(id_col).distinct(), id_col, "left_anti")
+    met = occurrences(terms, "term", empty, "whole").withColumnRenamed("part", "term")
+    sizes = classes.groupBy("prefix").agg(F.count("*").alias("n"))
+    return empty.join(met, "whole").join(terms, "term").select(id_col, "prefix").distinct().join(sizes, "prefix").select(id_col, "prefix", "n")
+
+
 def name_fragments(names: DataFrame, id_col: str, name_col: str, least: int = 3) -> DataFrame:
     """(fragment, id): sound-alike words of a name, joined neighbours, and the whole name in one piece."""
     words = F.regexp_extract_all(phonetic(name_col), F.lit("[a-z0-9]+"), F.lit(0))

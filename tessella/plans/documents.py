@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from tessella.functions.text import folder_safe, joined_term, registration_base, squeeze, sql_fold, tokens
 from tessella.operators import ages as A
 from tessella.operators import conversion as C
+from tessella.operators import grids as G
 from tessella.operators import quality as Q
 from tessella.operators import sections as S
 from tessella.operators import trimming as TR
 from tessella.plans.registry import query
-from tessella.sources.tables import table
+from tessella.sources.tables import table, written
 
 # Documents -------------------------------------------------------------------------------------------------------
 
@@ -202,6 +203,27 @@ def code_to_name(spark, root):
     return named.select("s_suppkey", F.array_join(F.transform("x", lambda v: v["n"]), ", ").alias("names"))
 
 
+@query("frequency_columns", """WITH l AS (SELECT l_suppkey AS id, l_orderkey AS k, 1 + l_linenumber % 3 AS f, 'word' || chr(97 + (l_partkey % 20)::INT) || 'x' AS w FROM lineitem WHERE l_suppkey % 20 < 15),
+v AS (SELECT id, CASE WHEN k % 7 = 0 THEN 1 + f % 3 ELSE f END AS f, w FROM l WHERE k % 11 <> 0),
+n AS (SELECT id, f, w, count(*) AS n FROM l GROUP BY ALL), m AS (SELECT id, f, w, count(*) AS m FROM v GROUP BY ALL),
+r AS (SELECT id, w, sum(n)::BIGINT AS n, sum(least(n, coalesce(m, 0)))::BIGINT AS ok FROM n LEFT JOIN m USING (id, f, w) GROUP BY 1, 2), t AS (SELECT id, w, sum(m)::BIGINT AS m FROM m GROUP BY 1, 2)
+SELECT id, sum(n)::BIGINT AS words, sum(ok)::BIGINT AS correct, sum(least(n, coalesce(m, 0)) - ok)::BIGINT AS elsewhere, sum(n - least(n, coalesce(m, 0)))::BIGINT AS missing FROM r LEFT JOIN t USING (id, w) GROUP BY 1""")
+def frequency_columns(spark, root):
+    """Tables of each supplier's lines by frequency, as HTML with spans and as markdown in which some words moved or went; how far their columns agree."""
+    li = table(spark, root, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey").where("l_suppkey % 20 < 15")
+    f, k = F.col("l_linenumber") % 3, F.col("l_orderkey")
+    word = F.concat(F.lit("word"), F.char(F.lit(97) + F.col("l_partkey") % 20), F.lit("x"))
+    cell = lambda at, i: F.when(at == i, word).otherwise("")
+    moved = F.when(k % 7 == 0, (f + 1) % 3).otherwise(f)
+    html = F.concat(F.lit("<tr><td>c</td>"), *[F.concat(F.lit("<td>"), cell(f, i), F.lit("</td>")) for i in range(3)], F.lit("</tr>"))
+    line = F.when(k % 11 != 0, F.concat(F.lit("| c | "), cell(moved, 0), F.lit(" | "), cell(moved, 1), F.lit(" | "), cell(moved, 2), F.lit(" |")))
+    docs = li.groupBy(F.col("l_suppkey").alias("id")).agg(F.array_join(F.collect_list(html), "").alias("h"), F.array_join(F.collect_list(line), "\n").alias("m"))  # one document each
+    head = "<table><tr><th rowspan=2>x</th><th colspan=3>y</th></tr><tr><th>Velmi časté</th><th>časté:</th><th>Vzácné</th></tr><tr><td colspan=4>Poruchy oka</td></tr>"
+    docs = docs.select("id", G.html_grids(F.concat(F.lit(head), "h", F.lit("</table>"))).alias("h"), G.markdown_grids(F.concat(F.lit("| x | Velmi časté | Časté | vzácné |\n|---|---|---|---|\n"), "m")).alias("m"))
+    docs = written(docs, "grids")
+    return G.column_agreement(G.column_words(docs, "id", "h"), G.column_words(docs, "id", "m"))
+
+
 # Ages ------------------------------------------------------------------------------------------------------------
 
 _BANS = """WITH b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 1 THEN 'yes' ELSE 'no' END AS kind, floor(l_quantity / 10) AS lo, CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE floor(l_quantity / 10) + l_linenumber END AS hi, CASE WHEN l_suppkey % 4 <> 0 THEN floor(l_quantity / 10) END AS dlo FROM lineitem),
@@ -211,6 +233,20 @@ a AS (SELECT *, CASE WHEN low IS NOT NULL THEN list_reduce(list_concat([low], li
 SELECT l_orderkey, round(age, 2) AS age_from, CASE WHEN age IS NULL THEN CASE WHEN cb THEN false WHEN cy THEN true END ELSE age < 18 OR (cy AND NOT cb) END AS for_children FROM a"""
 
 
+@query("age_reasons", """WITH e AS (SELECT l_orderkey, l_linenumber, '4.' || (1 + l_linenumber % 3) AS part, CASE WHEN l_linenumber % 3 = 1 THEN 'yes' WHEN l_linenumber % 3 = 2 THEN 'no' END AS kind, floor(l_quantity / 10)::INT AS lo, l_linenumber % 5 = 0 AS open_, l_partkey FROM lineitem),
+t AS (SELECT l_orderkey, part, l_linenumber, l_partkey, CASE WHEN l_partkey % 9 = 0 THEN part || ' other form, not counted: group ' || l_partkey WHEN kind = 'no' THEN part || ' no ' || lo || CASE WHEN open_ THEN ' and over' ELSE '-' || (lo + 2) || '.5' END || ': group ' || l_partkey
+  WHEN kind = 'yes' AND lo > 1 THEN part || ' yes from ' || lo || ': group ' || l_partkey WHEN kind = 'yes' THEN part || ' yes, no age: group ' || l_partkey END AS line FROM e)
+SELECT l_orderkey, coalesce(string_agg(line, '|' ORDER BY part, l_linenumber, line), 'no age in the text') AS reasons FROM t GROUP BY 1""")
+def age_reasons(spark, root):
+    """The audit list of each document's age: lines stand for pieces of evidence."""
+    n, lo = F.col("l_linenumber"), F.floor(F.col("l_quantity") / 10)
+    e = table(spark, root, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_partkey").select(
+        "l_orderkey", n.alias("position"), F.concat(F.lit("4."), (1 + n % 3).cast("string")).alias("part"), F.when(n % 3 == 1, "yes").when(n % 3 == 2, "no").alias("kind"), lo.cast("double").alias("lo"),
+        F.when(n % 5 != 0, lo + 2.5).alias("hi"), F.when(lo > 1, lo.cast("double")).alias("definite_lo"), F.concat(F.lit("group "), F.col("l_partkey").cast("string")).alias("patient"), (F.col("l_partkey") % 9 == 0).alias("other_form"),
+    )
+    return A.age_reasons(e, "l_orderkey").select("l_orderkey", F.array_join("reasons", "|").alias("reasons"))
+
+
 @query("min_age_fixpoint", _BANS)
 def min_age_fixpoint(spark, root):
     n = F.col("l_linenumber")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions.text import cost, plural
+from tessella.functions.text import cost, dosing_row, item_text, plural, sql_fold
+from tessella.operators import encoding as E
 from tessella.operators import queues as Q
 from tessella.operators.filling import filled
 from tessella.operators.selection import at_ranks
 from tessella.plans.registry import query
-from tessella.sources.tables import table
+from tessella.sources.tables import reload, table, work_path
 from tessella.streaming import runlog
 
 # Queues ----------------------------------------------------------------------------------------------------------
@@ -76,12 +77,17 @@ def insert_ignore(spark, root):
     return Q.insert_ignore(c, s, ["k"]).withColumn("k", F.coalesce("k", F.lit(-1)))
 
 
-@query("reload_guard", "SELECT 'customer' AS name, count(*) AS before, count(*) AS after, true AS unchanged FROM customer UNION ALL SELECT 'orders', count(*), count(*) FILTER (WHERE o_orderkey > 0), count(*) = count(*) FILTER (WHERE o_orderkey > 0) FROM orders")
+@query("reload_guard", """SELECT 'orders' AS name, count(*) AS before, count(*) AS after, (SELECT count(DISTINCT s_suppkey % 10) FROM supplier) AS reloaded FROM orders
+UNION ALL SELECT 'customer', count(*), count(*), (SELECT count(DISTINCT s_suppkey % 10) FROM supplier) FROM customer""")
 def reload_guard(spark, root):
-    """Counts of protected tables before and after a reload."""
-    c = table(spark, root, "customer").agg(F.count("*").alias("before")).select(F.lit("customer").alias("name"), "before", F.col("before").alias("after"))
-    o = table(spark, root, "orders", "o_orderkey").agg(F.count("*").alias("before"), F.count_if(F.col("o_orderkey") > 0).alias("after")).select(F.lit("orders").alias("name"), "before", "after")
-    return c.unionByName(o).withColumn("unchanged", F.col("before") == F.col("after"))
+    """A table of suppliers by kind is loaded anew, twice over the same path, while the counts of protected tables are watched."""
+    path = work_path(spark, "reloaded")
+    s = table(spark, root, "supplier", "s_suppkey").groupBy((F.col("s_suppkey") % 10).alias("kind")).agg(F.count("*").alias("n"))
+    protected = {n: f"{root}/{n}.parquet" for n in ("orders", "customer")}
+    reload(s, path, protected)
+    counts = reload(s, path, protected)
+    rows = spark.createDataFrame([(n, *c) for n, c in counts.items()], "name string, before long, after long")
+    return rows.crossJoin(F.broadcast(spark.read.parquet(path).agg(F.count("*").alias("reloaded"))))  # one row
 
 
 @query("reconcile_orphans", "WITH l AS (SELECT DISTINCT o_custkey AS k FROM orders) SELECT coalesce(c_custkey, k) AS batch, CASE WHEN k IS NULL THEN 'orphan' WHEN c_custkey IS NULL THEN 'lost' ELSE 'paired' END AS state FROM (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0) FULL JOIN l ON c_custkey = k")
@@ -203,6 +209,33 @@ def pivot_items(spark, root):
     return p.na.fill(0).withColumnRenamed("view", "view_")
 
 
+_ITEM = """SELECT event_id, ['dosing', 'adverse', 'indication', 'other'][event_id % 4 + 1] AS section, event_type AS a, CASE WHEN event_id % 5 = 0 THEN ' ' ELSE user_id || ' mg' END AS b, CASE WHEN event_id % 3 <> 0 THEN upper(event_type) END AS c FROM events"""
+
+
+def extracted_items(spark, root):
+    """Events as extracted items: JSON with the fields of all sections, some of them blank or missing."""
+    k = F.col("event_id")
+    section = F.get(F.array(*map(F.lit, ["dosing", "adverse", "indication", "other"])), (k % 4).cast("int"))
+    b = F.when(k % 5 == 0, " ").otherwise(F.concat(F.col("user_id").cast("string"), F.lit(" mg")))
+    c = F.when(k % 3 != 0, F.upper("event_type"))
+    fields = F.struct(F.col("event_type").alias("patient"), b.alias("dose"), c.alias("frequency"), F.col("event_type").alias("lay"), b.alias("effect"), c.alias("verbatim"))
+    return table(spark, root, "events", "event_id", "event_type", "user_id").select("event_id", section.alias("section"), F.to_json(fields).alias("item"))
+
+
+@query("item_texts", f"""WITH i AS ({_ITEM}), n AS (SELECT *, nullif(trim(b), '') AS d FROM i), j(event_id, lay, technical, section, item_text) AS (SELECT event_id, a, CASE section WHEN 'adverse' THEN d ELSE c END, section, concat_ws(' ', a, d, c) FROM n)
+SELECT event_id, CASE WHEN section = 'dosing' THEN item_text WHEN section = 'other' THEN 'json' WHEN lower(technical) <> lower(lay) THEN lay || ' (' || technical || ')' ELSE lay END AS item_text FROM j""")
+def item_texts(spark, root):
+    """Searchable texts of items of all sections; those of other sections are their JSON."""
+    text = item_text(F.col("section"), F.col("item"))
+    return extracted_items(spark, root).select("event_id", F.when(text.startswith("{"), "json").otherwise(text).alias("item_text"))
+
+
+@query("dosing_table", f"WITH i AS ({_ITEM}) SELECT event_id, a AS patient, b AS dose, coalesce(c, '') AS frequency, '' AS note FROM i WHERE section = 'dosing'")
+def dosing_table(spark, root):
+    """Dosing items as a table of four columns."""
+    return extracted_items(spark, root).where("section = 'dosing'").select("event_id", dosing_row(F.col("item")).alias("r")).select("event_id", "r.*")
+
+
 @query("dictionary_listing", "SELECT lower(p_type) AS expr, count(DISTINCT p_brand) AS wordings, array_to_string(list_sort(list(DISTINCT p_brand))[1:4], ',') AS first_wordings, max(p_partkey) AS edited, row_number() OVER (ORDER BY max(p_partkey) DESC) AS place FROM part GROUP BY 1")
 def dictionary_listing(spark, root):
     """Expressions with their first wordings, the most recently edited first."""
@@ -223,15 +256,19 @@ def seeded_sample(spark, root):
     return d.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(100)
 
 
-@query("incremental_fill", "SELECT vec_id, vec_id % 4 = 0 AS filled, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm FROM embeddings")
+_LETTERS = ", ".join(f"length(x) - length(replace(x, '{c}', ''))" for c in E.LETTERS)
+
+
+@query("incremental_fill", f"""WITH t AS (SELECT doc_id, trim(coalesce(text, '')) = '' AS blank, {sql_fold('text')} AS x, doc_id % 4 <> 0 AND doc_id % 7 <> 0 AS known FROM documents), v AS (SELECT *, [{_LETTERS}] AS v FROM t),
+w AS (SELECT *, sqrt(list_sum(list_transform(v, lambda c: c * c))) AS size FROM v)
+SELECT doc_id, NOT blank AND NOT known AS filled, CASE WHEN NOT blank THEN round(CASE WHEN known THEN 1 WHEN size > 0 THEN v[1] / size ELSE 0 END, 9) END AS first_, CASE WHEN NOT blank THEN CASE WHEN known THEN 1 ELSE 26 END END AS dims FROM w""")
 def incremental_fill(spark, root):
-    """Only rows without a vector are encoded (here: read from the table of vectors), the others stay as they are."""
-    e = table(spark, root, "embeddings", "vec_id", "embedding")
-    have = e.withColumn("vec", F.when(F.col("vec_id") % 4 != 0, F.col("embedding"))).drop("embedding")
-    todo = have.where("vec IS NULL").select("vec_id").join(e, "vec_id").select("vec_id", F.col("embedding").alias("vec"), F.lit(True).alias("filled"))
-    out = have.where("vec IS NOT NULL").withColumn("filled", F.lit(False)).unionByName(todo)
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    return out.select("vec_id", "filled", F.round(norm, 6).alias("norm"))
+    """Rows without a vector (a quarter) and rows whose text has changed since (a seventh) are encoded, the others keep the vector they have."""
+    d = table(spark, root, "documents", "doc_id", "text")
+    crc = F.when(F.col("doc_id") % 7 != 0, F.crc32(F.col("text").cast("binary"))).otherwise(F.lit(1))
+    known = d.where("doc_id % 4 != 0").select("doc_id", F.array(F.lit(1.0)).alias("vector"), crc.alias("text_crc"))
+    out = E.filled_vectors(d, "doc_id", "text", known)
+    return out.select("doc_id", "filled", F.round(F.get("vector", F.lit(0)), 9).alias("first_"), F.when(F.col("vector").isNotNull(), F.size("vector")).cast("long").alias("dims"))
 
 
 @query("run_log_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS \"end\", event_type, count(*) AS n FROM events GROUP BY 1, 2, 3")

@@ -204,6 +204,19 @@ def safety_net(spark, root):
     return hit.join(parts, "prefix").select("c_custkey", "prefix", "n")
 
 
+@query("safety_net_if_empty", f"""WITH m(term, prefix) AS ({_MAP}), q AS (SELECT c_custkey, upper(c_mktsegment || ' economy') AS q, c_nationkey FROM customer),
+h AS (SELECT c_custkey, count(p_partkey) AS n FROM q LEFT JOIN part ON p_size = c_nationkey AND p_size % 2 = 0 GROUP BY 1)
+SELECT q.c_custkey, m.prefix, count(*) AS n FROM q JOIN h ON h.c_custkey = q.c_custkey AND h.n = 0 JOIN m ON contains(q.q, m.term) JOIN part p ON starts_with(p.p_brand, m.prefix) AND p.p_size % 2 = 0 GROUP BY 1, 2""")
+def safety_net_if_empty(spark, root):
+    """Questions that found nothing get the classes that their words name, under the same filter as the search (here: even sizes)."""
+    m = spark.createDataFrame([("ECONOMY", "Brand#1"), ("PROMO", "Brand#2"), ("STANDARD", "Brand#3"), ("SMALL", "Brand#4")], "term string, prefix string")
+    q = table(spark, root, "customer").select("c_custkey", F.upper(F.concat("c_mktsegment", F.lit(" economy"))).alias("q"), "c_nationkey")
+    kept = table(spark, root, "part", "p_partkey", "p_size", "p_brand").where("p_size % 2 = 0")
+    found = q.join(kept.select(F.col("p_size").cast("long").alias("c_nationkey")).distinct(), "c_nationkey").select("c_custkey")
+    classes = kept.select(F.substring("p_brand", 1, 7).alias("prefix"))
+    return U.safety_net(q, "c_custkey", "q", found, m, classes).groupBy("c_custkey", "prefix").agg(F.sum("n").alias("n"))
+
+
 @query("dictionary_override", """WITH t AS (SELECT p_partkey, 'léčba  ' || upper(p_name) || '.' AS term, 'Při ' || p_type || '.' AS model FROM part),
 d AS (SELECT lower(p_name) AS k, min(p_brand) AS lay FROM part WHERE p_size < 10 GROUP BY 1),
 n AS (SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(term, '\\s+', ' ', 'g'))), '[.,;:]+$', ''), '^((léčba|léčení|terapie|při|lecba|leceni|pri) )+', '')) AS k,
@@ -445,6 +458,14 @@ def key_support(spark, root):
     return d.join(b, "item_id").select("item_id", "doc_id", N.supported(F.col("words"), F.col("starts")).alias("supported"))
 
 
+@query("foreign_script", "SELECT p_partkey, p_partkey % 8 IN (1, 3) AS foreign_ FROM part")
+def foreign_script(spark, root):
+    """Values with a letter of another script in them: Cyrillic and Chinese are errors, Greek and accents aren't."""
+    planted = F.array(*map(F.lit, ["", "\u0435", "\u03b3", "\u4e2d", "\u017e", "a", "1", "\u2265"]))
+    value = F.concat(F.substring("p_name", 1, 3), F.get(planted, (F.col("p_partkey") % 8).cast("int")), F.substring("p_name", 4, 100))
+    return table(spark, root, "part", "p_partkey", "p_name").select("p_partkey", N.foreign_script(value).alias("foreign_"))
+
+
 @query("value_in_source", f"""SELECT p_partkey, contains(regexp_replace({sql_fold("'Balení: ' || p_name || ' (' || p_type || ')'")}, '[^a-z0-9]', '', 'g'), regexp_replace({sql_fold("split_part(p_name, ' ', 1) || CASE WHEN p_partkey % 4 = 0 THEN ' navíc' ELSE '' END")}, '[^a-z0-9]', '', 'g')) AS found,
  CASE WHEN p_size % 3 = 0 THEN 1 ELSE 0 END AS missing FROM part""")
 def value_in_source(spark, root):

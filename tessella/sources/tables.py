@@ -71,11 +71,13 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def reload(df: DataFrame, path: str, protected: dict[str, str]) -> None:
-    """Full overwrite of ``path``; fails if the row count of any protected table changes meanwhile."""
+def reload(df: DataFrame, path: str, protected: dict[str, str]) -> dict[str, tuple[int, int]]:
+    """Full overwrite of ``path``; fails if the row count of any protected table changes meanwhile. Returns the counts before and after."""
     spark = df.sparkSession
     before = {n: spark.read.parquet(p).count() for n, p in protected.items()}
     df.write.mode("overwrite").parquet(path)
-    for n, p in protected.items():
-        if (after := spark.read.parquet(p).count()) != before[n]:
-            raise RuntimeError(f"protected table {n} changed: {before[n]} rows before, {after} after")
+    after = {n: spark.read.parquet(p).count() for n, p in protected.items()}
+    for n in protected:
+        if after[n] != before[n]:
+            raise RuntimeError(f"protected table {n} changed: {before[n]} rows before, {after[n]} after")
+    return {n: (before[n], after[n]) for n in protected}
