@@ -76,10 +76,14 @@ def html_grids(html: Column) -> Column:
 def heading_frequency(cell: Column) -> Column:
     """The wording of the frequency scale that a cell begins with, null for none."""
     plain = F.regexp_replace(squeeze(fold(F.regexp_replace(cell, "[*#]", ""))), "^[ :]+|[ :]+$", "")
-    out = F.lit(None).cast("string")
-    for name in sorted(CANON.values(), key=len):
-        out = F.when(plain.startswith(fold(F.lit(name))), F.lit(name)).otherwise(out)
-    return out
+
+    def named(p: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name in sorted(CANON.values(), key=len):
+            out = F.when(p.startswith(fold(F.lit(name))), F.lit(name)).otherwise(out)
+        return out
+
+    return F.get(F.transform(F.array(plain), named), F.lit(0))
 
 
 def column_words(docs: DataFrame, id_col: str, grids: str) -> DataFrame:

@@ -203,13 +203,13 @@ def code_to_name(spark, root):
     return named.select("s_suppkey", F.array_join(F.transform("x", lambda v: v["n"]), ", ").alias("names"))
 
 
-@query("frequency_columns", """WITH l AS (SELECT l_suppkey AS id, l_orderkey AS k, 1 + l_linenumber % 3 AS f, 'word' || chr(97 + (l_partkey % 20)::INT) || 'x' AS w FROM lineitem WHERE l_suppkey % 20 < 15),
+@query("frequency_columns", """WITH l AS (SELECT l_suppkey * 25 + l_orderkey % 25 AS id, l_orderkey AS k, 1 + l_linenumber % 3 AS f, 'word' || chr(97 + (l_partkey % 20)::INT) || 'x' AS w FROM lineitem WHERE l_suppkey % 20 < 15),
 v AS (SELECT id, CASE WHEN k % 7 = 0 THEN 1 + f % 3 ELSE f END AS f, w FROM l WHERE k % 11 <> 0),
 n AS (SELECT id, f, w, count(*) AS n FROM l GROUP BY ALL), m AS (SELECT id, f, w, count(*) AS m FROM v GROUP BY ALL),
 r AS (SELECT id, w, sum(n)::BIGINT AS n, sum(least(n, coalesce(m, 0)))::BIGINT AS ok FROM n LEFT JOIN m USING (id, f, w) GROUP BY 1, 2), t AS (SELECT id, w, sum(m)::BIGINT AS m FROM m GROUP BY 1, 2)
 SELECT id, sum(n)::BIGINT AS words, sum(ok)::BIGINT AS correct, sum(least(n, coalesce(m, 0)) - ok)::BIGINT AS elsewhere, sum(n - least(n, coalesce(m, 0)))::BIGINT AS missing FROM r LEFT JOIN t USING (id, w) GROUP BY 1""")
 def frequency_columns(spark, root):
-    """Tables of each supplier's lines by frequency, as HTML with spans and as markdown in which some words moved or went; how far their columns agree."""
+    """Tables of some of each supplier's lines by frequency, as HTML with spans and as markdown in which some words moved or went; how far their columns agree."""
     li = table(spark, root, "lineitem", "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey").where("l_suppkey % 20 < 15")
     f, k = F.col("l_linenumber") % 3, F.col("l_orderkey")
     word = F.concat(F.lit("word"), F.char(F.lit(97) + F.col("l_partkey") % 20), F.lit("x"))
@@ -217,7 +217,7 @@ def frequency_columns(spark, root):
     moved = F.when(k % 7 == 0, (f + 1) % 3).otherwise(f)
     html = F.concat(F.lit("<tr><td>c</td>"), *[F.concat(F.lit("<td>"), cell(f, i), F.lit("</td>")) for i in range(3)], F.lit("</tr>"))
     line = F.when(k % 11 != 0, F.concat(F.lit("| c | "), cell(moved, 0), F.lit(" | "), cell(moved, 1), F.lit(" | "), cell(moved, 2), F.lit(" |")))
-    docs = li.groupBy(F.col("l_suppkey").alias("id")).agg(F.array_join(F.collect_list(html), "").alias("h"), F.array_join(F.collect_list(line), "\n").alias("m"))  # one document each
+    docs = li.groupBy((F.col("l_suppkey") * 25 + F.col("l_orderkey") % 25).alias("id")).agg(F.array_join(F.collect_list(html), "").alias("h"), F.array_join(F.collect_list(line), "\n").alias("m"))  # one document each
     head = "<table><tr><th rowspan=2>x</th><th colspan=3>y</th></tr><tr><th>Velmi časté</th><th>časté:</th><th>Vzácné</th></tr><tr><td colspan=4>Poruchy oka</td></tr>"
     docs = docs.select("id", G.html_grids(F.concat(F.lit(head), "h", F.lit("</table>"))).alias("h"), G.markdown_grids(F.concat(F.lit("| x | Velmi časté | Časté | vzácné |\n|---|---|---|---|\n"), "m")).alias("m"))
     docs = written(docs, "grids")
