@@ -258,16 +258,21 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def frequent_words(counts: DataFrame, most: int, longest: int) -> DataFrame:
-    """The words of at most ``longest`` characters that occur often enough for about ``most`` of them, by a histogram of counts."""
-    some = counts.where(F.length("word") <= longest)
-    exact = some.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()  # 1,000 rows at most
-    least, total = 1001, 0
-    for r in exact:
+    """The most frequent words of at most ``longest`` characters, ``most`` of them or fewer, by a histogram of counts.
+
+    Counts up to 64 have a bucket each, larger ones 64 for each doubling, so the histogram has some thousand rows however
+    often words occur. Buckets are taken from the top while all their words fit; the first that doesn't fit ends it.
+    """
+    n = F.col("n")
+    level = F.when(n <= 64, n).otherwise(64 + F.floor((F.log2(n) - 6) * 64)).cast("long")
+    some = counts.where(F.length("word") <= longest).withColumn("level", level)
+    least, total = None, 0
+    for r in some.groupBy("level").agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect():  # some thousand rows at most
         total += r.words
         if total > most:
             break
-        least = r.n
-    return some.where(F.col("n") >= least).select("word")
+        least = r.level
+    return some.where(F.col("level") >= least if least is not None else F.lit(False)).select("word")
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", table_words: int = 150_000, table_longest: int = 32, decoded: bool = True) -> DataFrame:

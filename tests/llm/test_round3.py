@@ -13,7 +13,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import prose
-from tessella.llm import spelling, token_alignment, url_filter
+from tessella.llm import sentencepieces, spelling, token_alignment, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -231,3 +231,24 @@ def test_products_in_runs():
             out[i, j] += v
         assert (out == x @ y).all()
     assert (b.transposed().dot(np.arange(30)) == y.T @ np.arange(30)).all()
+
+
+# SentencePiece: the table of frequent words ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("most", [0, 3, 7, 11, 1000])
+def test_frequent_words_keep_their_bound(spark, most):
+    counts = {f"w{i}": 5_000 * (i + 1) for i in range(10)} | {f"t{i}": 40 for i in range(5)} | {"x" * 40: 10**6, "rare": 1}
+    got = {r.word for r in sentencepieces.frequent_words(spark.createDataFrame(list(counts.items()), "word string, n long"), most, 32).collect()}
+    assert len(got) <= most and "x" * 40 not in got
+    assert not got or min(counts[w] for w in got) > max((n for w, n in counts.items() if w not in got and len(w) <= 32), default=0)
+    assert {3: 2, 11: 10, 1000: 16}.get(most, 0) <= len(got)
+
+
+def test_pieces_are_the_library_s_for_any_table(spark):
+    texts = [" ".join(f"w{i} common" for i in range(30)) * 40, prose(1, 50), None, "x" * 40]
+    library = sentencepiece.SentencePieceProcessor(model_file=FILES[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for most in (0, 5, 100):  # far more than five words occur over a thousand times
+        got = {r.id: r.ids for r in sentencepieces.encode_documents(df, FILES[1], table_words=most).collect()}
+        assert got == {i: library.encode(t or "") for i, t in enumerate(texts)}
