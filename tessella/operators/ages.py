@@ -12,9 +12,9 @@ BAN = r"nestanoven|nebyl[aoy]?\s+stanoven|nedoporuc|nelze\s+doporucit|nema\s+(se
 DOSE = r"[0-9]|\b(jedn|dve|dva|tri|ctyri|pet|pul|polovin)"
 DOCTOR_ONLY = r"(jen|pouze)\s+(na|po|pod|podle)\s+(doporuceni|porade|predpis|dohledem|pokynu)\s+[a-z]*\s*lekar|(jen|pouze)\s+na\s+lekarsky\s+predpis"
 FORMS = {
-    "injekce": (r"injek|infuz|intraven|intramusk|parenter", "INJ|INF|IVN|IMS"), "sprej": (r"sprej|spray|rozprasov|vstrik", "SPR"), "kapky": ("kapk", "GTT"),
-    "cipky": ("cipk|rektal|supp", "SUP"), "tablety": ("tablet", "TBL|TAB"), "tobolky": ("tobol|kapsl", "CPS"), "tekute": (r"sirup|suspenz|peroralni\s+roztok|kapalin", "SIR|SUS"),
-    "granule": ("granul|prasek|sacek|sack", "GRA|PLV"), "kozni": (r"krem|mast|gel\b", "CRM|UNG|GEL|DRM"),
+    "injekce": (r"injek|infuz|intraven|i\.\s?v\.|intramusk|i\.\s?m\.|parenter", "INJ|INF|IVN|IMS"), "sprej": (r"sprej|spray|rozprasov|vstrik", "SPR"), "kapky": ("kapk", "GTT"),
+    "cipky": ("cipk|rektal|supp", "SUP"), "tablety": ("tablet", "TBL|TAB"), "tobolky": ("tobol|kapsl", "CPS"), "tekute": (r"sirup|suspenz|peroralni\s+roztok|kapalin", "SIR|SUS|POR SOL|SOL POR"),
+    "granule": ("granul|prasek|sacek|sack", "GRA|PLV|POR PLV"), "kozni": (r"krem|mast|gel\b|na\s+kuzi", "CRM|UNG|GEL|DRM"),
 }
 CONDITIONS = {
     "ledviny": r"ledvin|renal|clearance|crcl|gfr|dialyz", "jatra": r"jater|hepat|child", "dialyza": "dialyz", "hmotnost": r"\bkg\b|hmotnost",

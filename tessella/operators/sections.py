@@ -75,13 +75,24 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
 
 
-def fill_group_headings(lines: DataFrame, id_col: str, heading: str = r"^\s*#{1,6}\s*(.*)$", group: str = GROUP_WORDS) -> DataFrame:
-    """Add ``group``: the text of the patient-group heading above a line; any other heading resets it."""
+def fill_group_headings(lines: DataFrame, id_col: str, heading: str = r"^\s*#{1,6}\s*(.*)$", group: str = GROUP_WORDS, refine: str | None = None) -> DataFrame:
+    """Add ``group``: the text of the patient-group heading above a line; any other heading resets it.
+
+    With ``refine`` a line under such a heading that matches the pattern (list marks aside) takes the heading's place for the lines
+    after it; it counts as a heading itself.
+    """
     is_heading = F.col("line").rlike(heading)
     named = F.col("line").rlike(rf"(?i){group}")
     mark = F.when(is_heading, F.when(named, F.trim(F.regexp_replace(F.regexp_extract("line", heading, 1), r"\s*:\s*$", ""))).otherwise(F.lit("")))
     w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return lines.withColumn("group", F.nullif(F.last(mark, ignorenulls=True).over(w), F.lit(""))).withColumn("is_heading", is_heading)
+    if refine is None:
+        return lines.withColumn("group", F.nullif(F.last(mark, ignorenulls=True).over(w), F.lit(""))).withColumn("is_heading", is_heading)
+    bare = F.regexp_replace(F.trim("line"), r"^[-* ]+", "")
+    marked = lines.withColumn("__mark", mark).withColumn("__under", F.last("__mark", ignorenulls=True).over(w))
+    refines = F.coalesce(~is_heading & (F.col("__under") != "") & bare.rlike(refine), F.lit(False))
+    marked = marked.withColumn("__refines", refines).withColumn("__mark", F.when(F.col("__refines"), bare).otherwise(F.col("__mark")))
+    out = marked.withColumn("group", F.nullif(F.last("__mark", ignorenulls=True).over(w), F.lit(""))).withColumn("is_heading", is_heading | F.col("__refines"))
+    return out.drop("__mark", "__under", "__refines")
 
 
 def vocabulary(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

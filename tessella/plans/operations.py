@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from tessella.functions.text import cost, dosing_row, item_text, plural, sql_fold
 from tessella.operators import encoding as E
 from tessella.operators import queues as Q
-from tessella.operators.filling import filled
+from tessella.operators.filling import filled, with_running
 from tessella.operators.selection import at_ranks
 from tessella.plans.registry import query
 from tessella.sources.tables import reload, table, work_path
@@ -240,7 +240,8 @@ def dosing_table(spark, root):
 def dictionary_listing(spark, root):
     """Expressions with their first wordings, the most recently edited first."""
     g = table(spark, root, "part").groupBy(F.lower("p_type").alias("expr")).agg(F.countDistinct("p_brand").alias("wordings"), F.array_join(F.slice(F.array_sort(F.collect_set("p_brand")), 1, 4), ",").alias("first_wordings"), F.max("p_partkey").alias("edited"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("edited"))).cast("long"))
+    places = with_running(g.withColumn("__late", -F.col("edited")), "__late", ["expr"], {}).withColumnRenamed("position", "place")
+    return places.drop("__late")
 
 
 @query("duration_ratios", "SELECT year(o_orderdate) AS y, count(*) FILTER (WHERE o_orderpriority = '1-URGENT')::DOUBLE / count(*) AS urgent_share, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1".replace("count(*) FILTER (WHERE o_orderpriority = '1-URGENT')::DOUBLE / count(*) AS urgent_share", "round(count(*) FILTER (WHERE o_orderpriority = '1-URGENT')::DOUBLE / count(*), 10) AS urgent_share"))

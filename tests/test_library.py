@@ -281,3 +281,37 @@ def test_nearest_wordings_against_all_choices(spark):
         assert (r.organ, r.how) == want
         hows.add(r.how)
     assert near and hows == {"prazdna", "presna", "pribuzna", "nezname"}
+
+
+def test_seeded_sample_is_reproducible(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    got = [r.doc_id for r in entry.queries()["seeded_sample"](spark, sf).collect()]
+    d = spark.read.parquet(f"{sf}/documents.parquet").repartition(7).select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("h")).collect()
+    assert got == [r.doc_id for r in sorted(d, key=lambda r: (r.h, r.doc_id))[:100]] and len(set(got)) == 100
+
+
+def test_routes_by_hand(spark):
+    import __spark_entry__ as entry
+
+    rows = {r.o_orderkey: r for r in entry.queries()["route_questions"](spark, "/root/testdata/sf0.001").where("o_orderkey < 10").collect()}
+    assert (rows[0].sections, rows[0].confidence, rows[0].for_children) == ("adverse,contraindication,dosing,indication", "low", True)  # no keyword: all sections
+    assert (rows[1].sections, rows[1].confidence, rows[1].age) == ("indication", "high", 2.0)
+    assert rows[4].sections == "adverse" and rows[4].age is None and rows[6].adults and rows[6].sections == "adverse"
+
+
+def test_keys_repaired_like_a_loop(spark):
+    from difflib import SequenceMatcher
+
+    expected = ["click", "error", "purchase", "signup"]
+    r = random.Random(9)
+    given = [[r.choice([w, w[1:], w[:2] + w[3:], w + "x", w[::-1], "zzz"]) for w in r.sample(expected, r.randint(0, 4))] for _ in range(80)]
+    got = [x.k for x in spark.createDataFrame([(g,) for g in given], "g array<string>").select(py.repair_keys(expected)("g").alias("k")).collect()]
+    for g, k in zip(given, got):
+        used = []
+        for name in g:
+            free = [e for e in expected if e not in used]
+            best = max(free, key=lambda e: (SequenceMatcher(None, e, name).ratio(), e), default=None)
+            used.append(best if name not in expected and best and SequenceMatcher(None, best, name).ratio() >= 0.7 else name)
+        assert k == used

@@ -104,3 +104,26 @@ def test_cores_of_documents(spark):
         core = plain[r.section](r.text) if r.text is not None else None
         want.add((r.doc_id, r.section, None if core is None else len(core), None if core is None else zlib.crc32(core.encode())))
     assert set(map(tuple, entry.queries()["section_core"](spark, sf).collect())) == want
+
+
+def test_refined_groups_of_lines(spark):
+    from tessella.operators import sections as S
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(LISTED)], "id int, text string")
+    got = {}
+    for r in S.fill_group_headings(S.lines_of(docs, "id", "text"), "id", refine=T.REFINEMENT).orderBy("id", "pos").collect():
+        if not r.is_heading and r.line.strip():
+            got.setdefault(r.id, []).append(f"[{r.group}] {r.line.strip()}" if r.group else r.line.strip())
+    for i, t in enumerate(LISTED):
+        refined = {x.lstrip("-* ") for x in t.split("\n")}
+        plain = [x.strip() for x in plain_listed(t.replace(";", ",")).split("\n") if x.strip() and not x.strip().startswith("#")]
+        want = [x for x in plain if x.startswith("[") or x.lstrip("-* ") not in refined or not re.match(T.REFINEMENT[5:], x.lstrip("-* "), re.I) or "#" not in t.split(x)[0]]
+        assert [x.replace(";", ",") for x in got.get(i, [])] == want
+
+
+def test_forms_by_route(spark):
+    from tessella.operators.ages import other_form
+
+    rows = [("podání i. v.", "TBL NOB", True), ("podání i.m.", "INJ SOL", False), ("na kůži", "POR SOL", True), ("sirup", "POR SOL", False), ("prášek", "POR PLV SUS", False), ("iv", "TBL", False)]
+    got = spark.createDataFrame(rows, "t string, f string, want boolean").select("want", other_form(F.col("t"), F.col("f")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
