@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.sources.tables import written
+from tessella.sources.tables import discard, written
 
 
 def with_running(rows: DataFrame, key: str, ties: list[str], sums: dict[str, str], parts: int = 64) -> DataFrame:
@@ -67,12 +67,15 @@ def starts_of(pointers: DataFrame) -> DataFrame:
     jump = written(pointers, "batch-pointers")
     found, known, reach = jump.where("position = 1").select("position", F.lit(1).cast("long").alias("batch")), 0, 1
     while True:  # two doublings a round
-        found = written(ahead(ahead(found, jump, reach), twice(jump), 2 * reach), "batch-starts")
+        before, found = found, written(ahead(ahead(found, jump, reach), twice(jump), 2 * reach), "batch-starts")
+        discard(before)
         n = found.count()
         if n == known or n < 4 * reach:
+            discard(jump)
             return found
         known, reach = n, reach * 4
-        jump = written(twice(twice(jump)), "batch-pointers")
+        before, jump = jump, written(twice(twice(jump)), "batch-pointers")
+        discard(before)
 
 
 def filled(

@@ -115,7 +115,8 @@ def word_starts(text: Column) -> Column:
 def supported(words: Column, starts: Column, least: float = 0.5) -> Column:
     """At least half of a key's significant words are in a source's ``word_starts``: by their first four letters, three-letter words as they are."""
     wanted = F.transform(words, lambda w: F.when(F.length(w) >= 4, F.concat(F.lit("^"), F.substring(w, 1, 4))).otherwise(w))
-    hits = F.size(F.filter(wanted, lambda w: F.array_contains(starts, w)))
+    # the source is gone through once, by hash; words of one beginning count each
+    hits = F.get(F.transform(F.array(F.array_intersect(wanted, starts)), lambda met: F.size(F.filter(wanted, lambda w: F.array_contains(met, w)))), F.lit(0))
     return F.coalesce((F.size(words) > 0) & (hits >= least * F.size(words)), F.lit(False))
 
 

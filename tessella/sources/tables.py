@@ -34,7 +34,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: computed once, and lineage ends there."""
     path = work_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tessella_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files behind a DataFrame that ``written`` returned, once nothing reads it any more."""
+    if path := getattr(df, "_tessella_path", None):
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def json_documents(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
