@@ -138,8 +138,8 @@ class Tokens:
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for entry, i in vocabulary.items():
             self.a_bytes[i] = bytes(byte[ord(c)] for c in entry) if all(ord(c) in byte for c in entry) else entry.encode()
-        self.a = _Pieces(tokenizer, " ", 250_000)
-        self.a.starts = _Pieces(tokenizer, "", 50_000)  # after a line feed no space goes before
+        self.a = _Pieces(tokenizer, " ", 100_000)
+        self.a.starts = _Pieces(tokenizer, "", 25_000)  # after a line feed no space goes before
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.b_bytes = [
             bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(SPACE, " ").encode() for i in range(self.b.get_piece_size())
@@ -311,7 +311,7 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
     return out
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Align tokenizer A (byte-level, a tokenizers file) with B (a SentencePiece model) over whole texts.
 
     Returns the documents, rows (id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256), and the
