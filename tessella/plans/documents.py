@@ -32,7 +32,13 @@ h AS (SELECT page_id, plain, (length(plain) // 2) AS half, CASE page_id % 4 WHEN
 m AS (SELECT page_id, '# Title' || chr(10) || head || substr(plain, 1, half) || chr(10) || '## 4.2 Dosing' || chr(10) || '| a | b |' || chr(10) || '|---|---|' || chr(10) || '| 1 | 2 |' || chr(10) || substr(plain, half + 1) || CASE WHEN page_id % 3 = 0 THEN chr(10) || '# PŘÍLOHA II' || chr(10) || 'rest' ELSE chr(10) || '# PŘÍLOHA III' || chr(10) || 'rest' END AS md, substr(plain, 1, half) AS part FROM h) """
 
 
-@query("slice_section", _MD + "SELECT page_id, page_id % 4 <> 3 AS found, CASE WHEN page_id % 4 = 3 THEN 0 ELSE length(trim(CASE WHEN page_id % 4 = 2 THEN '. Indications' ELSE ' Indications' END || chr(10) || part)) END AS chars FROM m")
+_AT = r"4\s*\.\s*[1lI|!]"  # 4.1 with the digits that recognition confuses
+
+
+@query("slice_section", _MD + rf""", f AS (SELECT page_id, regexp_extract(md, '(?s)(?:^|\n)#{{1,6}}[ \t]*{_AT}([^0-9\n].*)$', 1) AS plain_, regexp_extract(md, '(?s)(?:^|\n)#{{1,6}}[^\n]*?{_AT}([^0-9\n].*)$', 1) AS merged FROM m),
+r AS (SELECT page_id, CASE WHEN plain_ <> '' THEN plain_ ELSE merged END AS rest, CASE WHEN plain_ <> '' THEN '[ \t]*' ELSE '[^\n]*?' END AS gap FROM f),
+c AS (SELECT page_id, rest <> '' AS found, CASE WHEN regexp_matches(rest, '\n#{{1,6}}' || gap || '4\s*\.\s*[2Z][^0-9\n]') THEN regexp_replace(rest, '(?s)\n#{{1,6}}' || gap || '4\s*\.\s*[2Z][^0-9\n].*$', '') ELSE left(rest, 40000) END AS part FROM r)
+SELECT page_id, found, length(regexp_replace(part, '^\s+|\s+$', '', 'g')) AS chars FROM c""")
 def slice_section(spark, root):
     text = S.slice_section(F.col("md"), "4.1", "4.2")
     return markdown(spark, root).select("page_id", text.isNotNull().alias("found"), F.coalesce(F.length(text), F.lit(0)).cast("long").alias("chars"))
@@ -43,7 +49,7 @@ def table_detection(spark, root):
     return markdown(spark, root).select("page_id", S.has_table(F.col("md")).alias("has_table"), S.table_count(F.col("md")).cast("long").alias("tables"))
 
 
-@query("cut_annex", _MD + "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN strpos(md, '# PŘÍLOHA II') - 1 ELSE length(md) END AS chars FROM m")
+@query("cut_annex", _MD + r"SELECT page_id, length(regexp_replace(md, '(?ims)^#{1,6}[ \t]*p[rř][ií]loha[ \t]+ii([^i0-9a-z_]|\z).*', '')) AS chars FROM m")
 def cut_annex(spark, root):
     return markdown(spark, root).select("page_id", F.length(S.cut_annex(F.col("md"))).cast("long").alias("chars"))
 
@@ -61,7 +67,16 @@ _WORDS = ["velmi časté", "Velmi vzácné", "méně časté", "Vzácné", "čas
 _BROKEN = ["v elmi č asté", "V elmi vz ácné", "mé ně časté", "V zácné", "č asté"]
 
 
-@query("glue_frequency_words", "SELECT event_id, event_type || ': ' || [" + ", ".join(f"'{w}'" for w in _WORDS) + "][event_id % 5 + 1] || ' (' || user_id || ')' AS fixed FROM events")
+def _glued_sql(text: str) -> str:
+    """Each wording, its letters with or without spaces between them, is written as it should be; the longest first."""
+    for word in sorted(S.FREQUENCY_WORDS, key=lambda w: (-len(w), w)):
+        letters = [c for c in word if c != " "]
+        for first, right in ((letters[0], word), (letters[0].upper(), word[0].upper() + word[1:])):
+            text = f"regexp_replace({text}, '{'[ \\t]*'.join([first, *letters[1:]])}', '{right}', 'g')"
+    return text
+
+
+@query("glue_frequency_words", "SELECT event_id, " + _glued_sql("(event_type || ': ' || [" + ", ".join(f"'{w}'" for w in _BROKEN) + "][event_id % 5 + 1] || ' (' || user_id || ')')") + " AS fixed FROM events")
 def glue_frequency_words(spark, root):
     words = F.element_at(F.array(*[F.lit(w) for w in _BROKEN]), (F.col("event_id") % 5 + 1).cast("int"))
     t = F.concat("event_type", F.lit(": "), words, F.lit(" ("), F.col("user_id").cast("string"), F.lit(")"))

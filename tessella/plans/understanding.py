@@ -429,9 +429,14 @@ def organ_near(spark, root):
     return v.select("p_partkey", "v", name.alias("organ"), how.alias("how"))
 
 
-@query("json_answer_state", """WITH e AS (SELECT event_id, event_id % 6 AS c, props FROM events) SELECT event_id,
-CASE c WHEN 0 THEN 'neovereno' WHEN 1 THEN 'castecna' WHEN 2 THEN 'prazdna' WHEN 3 THEN 'selhala_extrakce' WHEN 4 THEN 'selhala_extrakce' ELSE 'neovereno' END AS state,
-CASE c WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 1 ELSE 1 END AS items, CASE c WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS valid FROM e""")
+_RAW = """CASE event_id % 6 WHEN 0 THEN '{"items": [{"text": "' || k || '", "lay": "a"}]}' WHEN 1 THEN '{"items": [{"text": "' || k || '", "lay": "a"}, {"text": ""}]}' WHEN 2 THEN '{"items": []}' WHEN 3 THEN 'not json ' || k
+WHEN 4 THEN '{"items": [{"other": "x"}]}' ELSE '```json' || chr(10) || '{"items": [{"text": "' || k || '", "lay": "b"}]}' || chr(10) || '```' END"""
+
+
+@query("json_answer_state", f"""WITH r AS (SELECT event_id, {_RAW} AS raw FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)),
+t AS (SELECT event_id, trim(regexp_replace(trim(raw), '^```[a-zA-Z]*\\s*|\\s*```$', '', 'g')) AS x FROM r), j AS (SELECT event_id, CASE WHEN json_valid(x) THEN json_extract(x, '$.items[*]') END AS items FROM t),
+c AS (SELECT event_id, len(items) AS n, len(list_filter(items, lambda i: coalesce(json_extract_string(i, '$.text'), '') <> '' AND coalesce(json_extract_string(i, '$.lay'), '') <> '')) AS ok FROM j)
+SELECT event_id, CASE WHEN n IS NULL THEN 'selhala_extrakce' WHEN n = 0 THEN 'prazdna' WHEN ok = 0 THEN 'selhala_extrakce' WHEN ok < n THEN 'castecna' ELSE 'neovereno' END AS state, coalesce(n, 0) AS items, coalesce(ok, 0) AS valid FROM c""")
 def json_answer_state(spark, root):
     k = F.get_json_object("props", "$.k")
     c = F.col("event_id") % 6
