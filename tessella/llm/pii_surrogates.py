@@ -27,7 +27,7 @@ PATTERNS = {
     "secret": r"(?<![\p{L}\p{N}])(?i:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_\-]{8,}+",
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){1,8}",
     "key": r"(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,48}+)(?![\p{L}\p{N}])",
-    "ipv6": r"(?<![\p{L}\p{N}:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])",
+    "ipv6": r"(?<![\p{L}\p{N}:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\p{L}\p{N}:])",
     "ip": r"(?<![\p{L}\p{N}.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\p{N}]|\.\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])",
     "card": r"(?<![\p{L}\p{N}])\d(?:[ \-]?\d){12,18}(?![\p{L}\p{N}])",
@@ -179,13 +179,11 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
         first = drawn.groupBy("entity", "fake").agg(F.min("canon").alias("canon")).join(real, ["entity", "fake"], "left_anti")
         if done is not None:
             first = first.join(done.select("entity", "fake"), ["entity", "fake"], "left_anti")
-        good = first.select("entity", "canon", "fake")
-        before, done = done, write_table(good if done is None else done.unionByName(good), "pii-done")
-        rest = drawn.join(done.select("entity", "canon"), ["entity", "canon"], "left_anti").select("entity", "canon", (F.col("attempt") + 1).alias("attempt"))
+        good = write_table(first.select("entity", "canon", "fake"), "pii-done")  # a table for each round: what is decided is not written again
+        done = good if done is None else done.unionByName(good)
+        rest = drawn.join(good.select("entity", "canon"), ["entity", "canon"], "left_anti").select("entity", "canon", (F.col("attempt") + 1).alias("attempt"))
         todo = write_table(rest, "pii-todo")
         drop_table(drawn)
-        if before is not None:
-            drop_table(before)
     return done if done is not None else real.select("entity", F.col("fake").alias("canon"), "fake")
 
 
@@ -202,10 +200,13 @@ def _poured(hit: Column, digits: Column) -> Column:
 
 
 def replacements(hits: DataFrame, key: str) -> DataFrame:
-    """Rows (hit, new): the string that takes the place of each distinct entity string, in its own format."""
+    """Rows (hit, new, tokens): the string that takes the place of each distinct entity string, in its own format.
+
+    ``tokens`` are a name's words with their surrogates, (canon, fake), and empty for other types.
+    """
     parts = write_table(entities_of(hits.select("hit").distinct()), "pii-entities")
     named = parts.join(assign(parts, key), ["entity", "canon"])
-    fakes = named.groupBy("hit", "kind").agg(F.array_sort(F.collect_list(F.struct("part", "fake"))).alias("fakes"))  # one or two per string
+    fakes = named.groupBy("hit", "kind").agg(F.array_sort(F.collect_list(F.struct("part", "fake", "canon"))).alias("fakes"))  # one or two per string
     fake = F.element_at("fakes", 1)["fake"]
     digits = F.regexp_replace("hit", r"\D", "")
     before = F.substring(digits, F.lit(1), F.greatest(F.length(digits) - 10, F.lit(0)))  # a phone's country code stays
@@ -216,7 +217,21 @@ def replacements(hits: DataFrame, key: str) -> DataFrame:
         .when(F.col("kind") == "name", F.concat(F.regexp_extract("hit", r"^(\S+ )", 1), F.array_join(F.transform("fakes", lambda x: x["fake"]), " ")))
         .otherwise(fake)
     )
-    return fakes.select("hit", new.alias("new"))
+    words = F.transform("fakes", lambda x: F.struct(x["canon"].alias("canon"), x["fake"].alias("fake")))
+    return fakes.select("hit", new.alias("new"), F.when(F.col("kind") == "name", words).otherwise(F.array().cast("array<struct<canon:string,fake:string>>")).alias("tokens"))
+
+
+def _mentions_replaced(gap: Column, names: Column) -> Column:
+    """A stretch of text in which the words of ``names``, an array of (canon, fake), have given way to their surrogates, all at once."""
+    words = F.array_distinct(F.transform(names, lambda x: x["canon"]))
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    fake = lambda m: F.get(F.filter(names, lambda x: x["canon"] == m), F.lit(0))["fake"]
+
+    def joined(p: Column) -> Column:
+        new = F.transform(F.regexp_extract_all(gap, p, F.lit(0)), fake)
+        return F.concat_ws("", F.flatten(F.zip_with(F.split(gap, p, -1), new, lambda g, n: F.array(g, n))))
+
+    return F.when(F.size(names) > 0, F.get(F.transform(F.array(pattern), joined), F.lit(0))).otherwise(gap)
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,20 +240,22 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     When the surrogates of a format are used up, they get longer (letters, syllables or digits), so every thing gets its own.
     The same thing gets the same surrogate in all documents, different things of a type different ones; numbers keep their
     separators, cards their first digit and Luhn validity, phones what precedes their last ten digits, names the
-    gender of their title and their script. Defined results: a null text stays null, a text without
+    gender of their title and their script. A name is found by its title; its words are then replaced wherever else they
+    stand in the same document, with or without a title. Defined results: a null text stays null, a text without
     entities stays as it is byte by byte; rows equal in id and text get the same replacement; null
     ids are handled like others; an empty table gives no rows; other columns stay, whatever their names.
     """
     hits = write_table(find_entities(docs, id_col, text_col), "pii-hits")
-    new = hits.join(write_table(replacements(hits, key), "pii-new"), "hit").select("id", "row", "pos", "new").distinct()
-    per_row = new.groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("news"))  # the entities of one text
-    per_row = per_row.select(F.col("id").alias("hit_id"), F.col("row").alias("hit_row"), F.transform("news", lambda x: x["new"]).alias("news"))
+    new = hits.join(write_table(replacements(hits, key), "pii-new"), "hit").select("id", "row", "pos", "new", "tokens").distinct()
+    per_row = new.groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("pos", "new", "tokens"))).alias("news"))  # the entities of one text
+    names = F.array_sort(F.array_distinct(F.flatten(F.transform("news", lambda x: x["tokens"]))))
+    per_row = per_row.select(F.col("id").alias("hit_id"), F.col("row").alias("hit_row"), F.transform("news", lambda x: x["new"]).alias("news"), names.alias("names"))
     inner = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*inner)
     id_, text = inner[docs.columns.index(id_col)], inner[docs.columns.index(text_col)]
     rows = rows.withColumn("row", F.xxhash64(F.col(text).cast("string")))
     rows = rows.join(per_row, rows[id_].eqNullSafe(per_row.hit_id) & (rows["row"] == per_row.hit_row), "left")
-    gaps = F.split(F.col(text).cast("string"), ANY, -1)
+    gaps = F.transform(F.split(F.col(text).cast("string"), ANY, -1), lambda g: _mentions_replaced(g, F.col("names")))
     joined = F.concat_ws("", F.flatten(F.zip_with(gaps, "news", lambda g, n: F.array(g, n))))
     new_text = F.when(F.col("news").isNull(), F.col(text)).otherwise(joined)
     out = rows.select(*[new_text.alias(c) if c == text else F.col(c) for c in inner], F.coalesce(F.size("news"), F.lit(0)).alias("n_replaced"))

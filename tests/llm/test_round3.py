@@ -13,7 +13,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import prose
-from tessella.llm import sentencepieces, spelling, token_alignment, url_filter
+from tessella.llm import pii_surrogates, sentencepieces, spelling, token_alignment, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -252,3 +252,23 @@ def test_pieces_are_the_library_s_for_any_table(spark):
     for most in (0, 5, 100):  # far more than five words occur over a thousand times
         got = {r.id: r.ids for r in sentencepieces.encode_documents(df, FILES[1], table_words=most).collect()}
         assert got == {i: library.encode(t or "") for i, t in enumerate(texts)}
+
+
+# Surrogates: mentions without a title, compressed addresses ------------------------------------------------------
+
+
+def test_names_of_a_document_are_replaced_in_all_forms(spark):
+    texts = {
+        1: "Herr Hans Keller kam. Keller schrieb, Hans auch; Kellers Haus, keller und HansKeller bleiben. Keller's (Keller)", 2: "Keller und Hans sind hier keine Namen.", 3: None, 4: "Frau Hans kam mit Herr Hans Otto. Hans!",
+        5: "г-жа Анна Петрова и Петрова, Анна", 6: "hosts 2001:db8::1, fe80:: and ::1, 2001:db8::1:2 but std::vector, 12:30:45 and a::b", 7: "Mr. A" + " word" * 3 + " Mr. Smith" + " Smith" * 500,
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii_surrogates.pseudonymise(df, "k").collect()}
+    given, family = re.match(r"Herr (\w+) (\w+) kam", got[1]).groups()
+    assert {given, family}.isdisjoint({"Hans", "Keller"})
+    assert got[1] == f"Herr {given} {family} kam. {family} schrieb, {given} auch; Kellers Haus, keller und HansKeller bleiben. {family}'s ({family})"
+    assert got[2] == texts[2] and got[3] is None and "Hans" not in got[4] and "Otto" not in got[4]
+    first, last = re.match(r"г-жа (\w+) (\w+) и", got[5]).groups()
+    assert got[5] == f"г-жа {first} {last} и {last}, {first}" and first != "Анна"
+    assert re.fullmatch(r"hosts [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f], fe80:: and ::[0-9a-f], [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]:[0-9a-f] but std::vector, 12:30:45 and a::b", got[6].replace(re.search(r"[0-9a-f]{4}:: and", got[6])[0], "fe80:: and"))
+    assert "db8" not in got[6] and "Smith" not in got[7] and len(got[7].split()) == len(texts[7].split())
