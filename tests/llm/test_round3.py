@@ -13,7 +13,7 @@ import sentencepiece
 from tokenizers import Tokenizer
 
 from tests.llm.conftest import prose
-from tessella.llm import pii_surrogates, sentencepieces, spelling, token_alignment, url_filter
+from tessella.llm import line_dedup, pii_surrogates, sentencepieces, spelling, token_alignment, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -272,3 +272,25 @@ def test_names_of_a_document_are_replaced_in_all_forms(spark):
     assert got[5] == f"г-жа {first} {last} и {last}, {first}" and first != "Анна"
     assert re.fullmatch(r"hosts [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f], fe80:: and ::[0-9a-f], [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]:[0-9a-f] but std::vector, 12:30:45 and a::b", got[6].replace(re.search(r"[0-9a-f]{4}:: and", got[6])[0], "fe80:: and"))
     assert "db8" not in got[6] and "Smith" not in got[7] and len(got[7].split()) == len(texts[7].split())
+
+
+# Lines: short ones with one letter changed -----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n_words", [2, 4, 5, 8])
+def test_short_lines_with_an_edit_are_found(spark, n_words):
+    r = random.Random(n_words)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(4, 9)))
+    texts, pairs = [], []
+    for k in range(200):
+        words = [word() for _ in range(n_words)]
+        i, edit = r.randrange(n_words), k % 3
+        at = r.randrange(len(words[i]))
+        new = words[i][:at] + ("q" if edit < 2 else "") + words[i][at + (edit != 1) :]
+        texts += [" ".join(words), " ".join([*words[:i], new, *words[i + 1 :]])]
+        pairs.append((2 * k, 2 * k + 1))
+    lines = spark.createDataFrame(list(enumerate(texts)), "line long, norm string").repartition("line")
+    links = {(x.a, x.b) for x in line_dedup.line_links(lines, 0.8).collect()}
+    similar = [p for p in pairs if texts[p[0]] != texts[p[1]]]
+    assert len(links & set(similar)) >= 0.9 * len(similar), len(links & set(similar))
+    assert links <= set(similar) | {(a, b) for a, b in links if texts[a] == texts[b]}
