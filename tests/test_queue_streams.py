@@ -50,7 +50,7 @@ def test_retries_wait_give_up_and_forget(spark, tmp_path, timers):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
         out = set()
         log = runlog.log_stream(spark, f"{tmp_path}/in/*", schema)
-        q = queue.retries(log, "item", "state", most=3, pause_s=1, ttl_s=15).writeStream.foreachBatch(lambda df, _: out.update(tuple(r) for r in df.collect()))
+        q = queue.retries(log, "item", "state", most=3, pause_s=1, ttl_s=30).writeStream.foreachBatch(lambda df, _: out.update(tuple(r) for r in df.collect()))
         q = q.outputMode("update").option("checkpointLocation", f"{tmp_path}/check").trigger(processingTime="200 milliseconds").start()
         until = time.time() + 60
         while not want <= out and time.time() < until:
@@ -61,7 +61,7 @@ def test_retries_wait_give_up_and_forget(spark, tmp_path, timers):
     step(0, [("a", "error"), ("b", "error"), ("b", "error"), ("c", "ok")], {("a", 1, "wait"), ("b", 2, "wait"), ("c", 0, "done")})
     time.sleep(1)
     step(1, [("b", "error"), ("d", "error")], {("b", 3, "give up"), ("d", 1, "wait"), ("d", 1, "retry")})  # after a restart: counts go on, timers fire
-    time.sleep(15)
+    time.sleep(30)
     step(2, [("b", "error")], {("b", 1, "wait")})  # its failures are too old to count
 
 

@@ -3,7 +3,6 @@
 import json
 import random
 
-from pyspark.sql import functions as F
 
 from tessella.operators import conversion as C
 from tessella.operators import quality as Q
