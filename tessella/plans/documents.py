@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.functions.text import folder_safe, joined_term, registration_base, squeeze, sql_fold, tokens
+from tessella.functions.text import folder_safe, joined_term, registration_base, simple_upper, squeeze, sql_fold, tokens
 from tessella.operators import ages as A
 from tessella.operators import conversion as C
 from tessella.operators import grids as G
@@ -160,7 +160,7 @@ SELECT doc_id, CASE WHEN lower(technical) <> lower(lay) AND length(technical) <=
 def item_text_join(spark, root):
     d = table(spark, root, "documents", "doc_id", "text").join(table(spark, root, "labels", "doc_id", "quality"), "doc_id", "left")
     word = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
-    technical = F.when(F.col("quality") == 1, F.substring("text", 1, 70)).when(F.col("quality") == 0, F.upper(word(1))).otherwise(word(2))
+    technical = F.when(F.col("quality") == 1, F.substring("text", 1, 70)).when(F.col("quality") == 0, simple_upper(word(1))).otherwise(word(2))
     return d.select("doc_id", joined_term(word(1), technical).alias("item_text"))
 
 
