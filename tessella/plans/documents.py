@@ -159,9 +159,11 @@ def section_core(spark, root):
 SELECT doc_id, CASE WHEN lower(technical) <> lower(lay) AND length(technical) <= 60 THEN lay || ' (' || technical || ')' ELSE lay END AS item_text FROM i""")
 def item_text_join(spark, root):
     d = table(spark, root, "documents", "doc_id", "text").join(table(spark, root, "labels", "doc_id", "quality"), "doc_id", "left")
-    word = lambda n: F.split_part("text", F.lit(" "), F.lit(n))
-    technical = F.when(F.col("quality") == 1, F.substring("text", 1, 70)).when(F.col("quality") == 0, simple_upper(word(1))).otherwise(word(2))
-    return d.select("doc_id", joined_term(word(1), technical).alias("item_text"))
+    word = lambda n: F.split_part(F.substring_index("text", " ", n), F.lit(" "), F.lit(n))  # noqa: E731  splits no more of the text
+    lay = F.col("lay")
+    technical = F.when(F.col("quality") == 1, F.col("start")).when(F.col("quality") == 0, simple_upper(lay)).otherwise(F.col("second"))
+    d = d.select("doc_id", "quality", word(1).alias("lay"), word(2).alias("second"), F.substring("text", 1, 70).alias("start")).select("doc_id", "lay", technical.alias("technical"))
+    return d.select("doc_id", joined_term(lay, F.col("technical")).alias("item_text"))
 
 
 @query("explode_items", _LINES.split(", m AS")[0] + " SELECT doc_id, pos, length(line) AS chars FROM l WHERE NOT list_contains([1, 3], pos) AND trim(line) <> ''")
