@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.sources.tables import discard, written
 
+PART_ROWS = 1 << 19  #: rows of a part of the queue, about
+
 
 def with_running(rows: DataFrame, key: str, ties: list[str], sums: dict[str, str], parts: int = 64) -> DataFrame:
     """Add ``position`` (from 1) in the order of the numeric ``key`` and ``ties``, and for each of ``sums`` (name to column) the total before the row.
@@ -78,6 +82,81 @@ def starts_of(pointers: DataFrame) -> DataFrame:
         discard(before)
 
 
+def in_order(rows: DataFrame, by: list[str], parts: int) -> DataFrame:
+    """The rows written in order: ``__part`` numbers ranges of the order, ``__row`` (from 0) the rows of a part. Parts grow in number with the rows, not in size."""
+    parts = max(parts, -(-rows.count() // PART_ROWS))
+    place = F.monotonically_increasing_id()  # the partition's number, and the row's in it
+    ordered = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("__at", place)
+    split = ordered.withColumn("__part", F.shiftright("__at", 33).cast("int")).withColumn("__row", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    return written(split.drop("__at"), "queue")
+
+
+def _weights(part: pa.Table) -> np.ndarray:
+    row = np.asarray(part["__row"].combine_chunks())
+    out = np.empty(len(row))
+    out[row] = np.asarray(part["weight"].combine_chunks())
+    return out
+
+
+def _next_of(weights: np.ndarray, cap: float, size: int) -> np.ndarray:
+    """For each row the one that starts the next batch if it starts one; at least their number if no row of these does."""
+    total, at = np.concatenate([[0.0], np.cumsum(weights)]), np.arange(len(weights))
+    over = np.searchsorted(total, total[:-1] + cap, side="right") - 1
+    return np.minimum(np.maximum(over, at + 1), at + size)
+
+
+def batch_starts(queue: DataFrame, cap: float, size: int) -> DataFrame:
+    """Rows (__part, __row, batch): the first row of each batch, and before all rows of a part (row -1) the batch that is open there.
+
+    ``queue`` has __part, __row (see ``in_order``) and weight. The first start in a part is among its first ``size`` rows. So each part tells, for each of
+    these, the last start in it that they lead to and the number of starts on the way; with the weights at its two ends that is what
+    one pass over the parts needs to find where each is entered. Then each part follows its own starts.
+    """
+
+    def ways(part: pa.Table) -> pa.Table:
+        weights = _weights(part)
+        n, onward = len(weights), _next_of(weights, cap, size).tolist()
+        last, batches = list(range(n)), [1] * n
+        for i in range(n - 1, -1, -1):
+            if onward[i] < n:
+                last[i], batches[i] = last[onward[i]], batches[onward[i]] + 1
+        held = {"head": weights[:size], "tail": weights[-size:], "last": last[:size], "batches": batches[:size]}
+        return pa.table({"__part": part["__part"][:1], "n": [n], **{k: pa.array([v], pa.list_(pa.float64() if k in ("head", "tail") else pa.int64())) for k, v in held.items()}})
+
+    def entered(parts: pa.Table) -> pa.Table:
+        rows = sorted(parts.to_pylist(), key=lambda p: p["__part"])
+        out, batch, number, weight = [], 0, 0, 0.0  # the open batch, its rows and their weight
+        for p in rows:
+            total = np.concatenate([[0.0], np.cumsum(p["head"])])
+            entry = 0 if not batch else min(int(np.searchsorted(total, cap - weight, side="right")) - 1, size - number)
+            entry = max(entry, 0)  # none of these rows fits
+            if entry < p["n"]:
+                out.append((p["__part"], batch, entry))
+                batch += p["batches"][entry]
+                number = p["n"] - p["last"][entry]
+                weight = float(np.sum(p["tail"][len(p["tail"]) - number :]))
+            else:  # all of them are in the open batch
+                out.append((p["__part"], batch, None))
+                number, weight = number + p["n"], weight + float(total[-1])
+        a, b, c = zip(*out) if out else ((), (), ())
+        return pa.table({"__part": pa.array(a, pa.int32()), "batch": pa.array(b, pa.int64()), "entry": pa.array(c, pa.int64())})
+
+    def starts(part: pa.Table, at: pa.Table) -> pa.Table:
+        (at,) = at.to_pylist()
+        found, i, n = [-1], at["entry"], part.num_rows
+        if i is not None:
+            onward = _next_of(_weights(part), cap, size).tolist()
+            while i < n:
+                found.append(i)
+                i = onward[i]
+        return pa.table({"__part": pa.array([at["__part"]] * len(found), pa.int32()), "__row": pa.array(found, pa.int64()), "batch": pa.array(range(at["batch"], at["batch"] + len(found)), pa.int64())})
+
+    narrow = queue.select("__part", "__row", F.col("weight").cast("double").alias("weight"))
+    by_part = narrow.groupBy("__part").applyInArrow(ways, "__part int, n long, head array<double>, tail array<double>, last array<long>, batches array<long>")
+    places = by_part.groupBy().applyInArrow(entered, "__part int, batch long, entry long")  # a row a part, of some ``size`` numbers
+    return narrow.groupBy("__part").cogroup(places.groupBy("__part")).applyInArrow(starts, "__part int, __row long, batch long")
+
+
 def filled(
     rows: DataFrame, key: str, ties: list[str], weight: str, cap: float, size: int, fault: Column | None = None, cost: str | None = None, ceiling: float | None = None, parts: int = 64,
 ) -> DataFrame:
@@ -91,14 +170,35 @@ def filled(
     """
     bad = F.coalesce(fault, F.lit(False)) if fault is not None else F.lit(False)
     marked = rows.withColumns({"__bad": bad, "weight__": F.coalesce(F.col(weight), F.lit(0)), "cost__": F.coalesce(F.col(cost), F.lit(0)) if cost else F.lit(0)})
-    queue = written(with_running(marked.where("NOT __bad"), key, ties, {"before": "weight__"}, parts), "queue")
+    queue = marked.where("NOT __bad").drop("__bad")
+    placed = _by_parts(queue, [key, *ties], cap, size, parts) if size <= PART_ROWS // 8 else _by_doubling(queue, key, ties, cap, size, parts)
+    money = with_running(written(placed.groupBy("batch").agg(F.sum("cost__").alias("usd")), "batch-costs"), "batch", [], {"spent": "usd"}, parts)
+    if ceiling is None:
+        done = placed.withColumn("state", F.lit("sent"))
+    else:  # costs aren't negative, so the batches within the ceiling are the first ones
+        paid = money.agg(F.coalesce(F.max(F.when(F.col("spent") + F.col("usd") <= ceiling, F.col("batch"))), F.lit(0)).alias("__paid"))
+        done = placed.crossJoin(F.broadcast(paid)).withColumn("state", F.when(F.col("batch") <= F.col("__paid"), "sent").otherwise("waiting"))  # one row
+    done = done.select(*rows.columns, "batch", "state")
+    return done.unionByName(marked.where("__bad").select(*rows.columns, F.lit(None).cast("long").alias("batch"), F.lit("fault").alias("state")))
+
+
+def _by_parts(rows: DataFrame, by: list[str], cap: float, size: int, parts: int) -> DataFrame:
+    """Rows with their ``batch``: parts of the queue find their own starts, and each row takes the last one before it."""
+    queue = in_order(rows, by, parts)
+    starts = batch_starts(queue.select("__part", "__row", F.col("weight__").alias("weight")), cap, size)
+    both = queue.unionByName(starts, allowMissingColumns=True).withColumn("__own", F.col("batch").isNull())
+    before = Window.partitionBy("__part").orderBy("__row", "__own").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = written(both.withColumn("batch", F.last("batch", ignorenulls=True).over(before)).where("__own").drop("__own", "__part", "__row"), "placed")
+    discard(queue)
+    return placed
+
+
+def _by_doubling(rows: DataFrame, key: str, ties: list[str], cap: float, size: int, parts: int) -> DataFrame:
+    """Rows with their ``batch``, for batches of any number of rows: every row's pointer to the next start is followed."""
+    queue = written(with_running(rows, key, ties, {"before": "weight__"}, parts), "queue")
     starts = starts_of(next_starts(queue.select("position", F.col("weight__").alias("weight"), "before"), cap, size))
     ends = starts.select((F.col("batch") - 1).alias("batch"), F.col("position").alias("end"))
     last = queue.agg((F.max("position") + 1).alias("last"))
     spans = starts.join(ends, "batch", "left").crossJoin(F.broadcast(last))  # one row
     place = spans.select("batch", F.explode(F.sequence("position", F.coalesce("end", "last") - 1)).alias("position"))
-    placed = queue.join(place, "position")
-    spent = with_running(placed.groupBy("batch").agg(F.sum("cost__").alias("usd")), "batch", [], {"spent": "usd"}, parts)
-    state = F.when(F.col("spent") + F.col("usd") <= ceiling, "sent").otherwise("waiting") if ceiling is not None else F.lit("sent")
-    done = placed.join(spent.select("batch", state.alias("state")), "batch").select(*rows.columns, "batch", "state")
-    return done.unionByName(marked.where("__bad").select(*rows.columns, F.lit(None).cast("long").alias("batch"), F.lit("fault").alias("state")))
+    return queue.join(place, "position")
