@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import fold
-from tessella.operators.lemmas import lexemes, words_of
+from tessella.operators.lemmas import lexemes, special_words, words_of
+from tessella.sources.tables import discard, written
+
+SPECIAL = 1_000_000  #: so many words with terms of their own are broadcast, at most
+FLUSH = 1_000_000  #: hits of whole documents that are grouped at a time
+DOCUMENTS = 400_000  #: documents whose postings of a bucket go to one task
 
 
 @dataclass(frozen=True)
@@ -33,22 +43,153 @@ class TextQuery:
         return sorted({t for s in self.slots for t in s})
 
 
+def all_words(id_col: str, text_col: str, key_col: str | None = None) -> Column:
+    """The words of key and text as they are, and once more without accents."""
+    whole = F.concat_ws(" ", *([F.col(key_col)] if key_col else []), F.col(text_col))
+    return words_of(F.concat_ws(" ", whole, fold(whole)))
+
+
 def positions(rows: DataFrame, id_col: str, text_col: str, key_col: str | None = None) -> DataFrame:
     """(id, pos, word) of key and text as they are, and once more without accents; positions run on."""
-    whole = F.concat_ws(" ", *([F.col(key_col)] if key_col else []), F.col(text_col))
-    return rows.select(F.col(id_col).alias("id"), F.posexplode(words_of(F.concat_ws(" ", whole, fold(whole)))).alias("pos", "word"))
+    return rows.select(F.col(id_col).alias("id"), F.posexplode(all_words(id_col, text_col, key_col)).alias("pos", "word"))
+
+
+def _once(rows: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """The rows whose id no other row has, and the others (None if there are none)."""
+    ids = written(rows.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id"), "repeated-ids")
+    if ids.isEmpty():
+        discard(ids)
+        return rows, None
+    same = rows[id_col].eqNullSafe(ids["__id"])
+    return rows.join(ids, same, "left_anti"), rows.join(ids, same, "left_semi")
+
+
+def _termed(tokens: DataFrame, special: DataFrame) -> DataFrame:
+    """Tokens (word in lower case, ...) with ``term`` in place of ``word``, a row per term; ``special`` (see ``special_words``) is broadcast, so that rows stay in their order."""
+    met = tokens.join(F.broadcast(special), "word", "left")  # SPECIAL rows at most
+    return met.withColumn("term", F.explode(F.coalesce("terms", F.array(fold("word"))))).drop("word", "terms")
+
+
+def _by_documents(batches: Iterator[pa.RecordBatch], group: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """``group`` of tables of whole documents (column ``row``, equal in a stretch of rows) of some FLUSH rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held, size = [*held, batch], size + batch.num_rows
+        if size >= FLUSH:
+            whole = pa.Table.from_batches(held)
+            row = np.asarray(whole["row"].combine_chunks())
+            end = int(np.flatnonzero(row != row[-1])[-1]) + 1 if row[0] != row[-1] else 0
+            if end:
+                yield from group(whole.slice(0, end))
+            held, size = whole.slice(end).combine_chunks().to_batches(), size - end
+    if size:
+        yield from group(pa.Table.from_batches(held))
+
+
+def _terms_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers of the documents and of the terms of a table's rows, and the terms."""
+    row = np.asarray(table["row"].combine_chunks())
+    terms = table["term"].combine_chunks().dictionary_encode()
+    return np.concatenate([[0], np.cumsum(row[1:] != row[:-1])]).astype(np.int64), np.asarray(terms.indices).astype(np.int64), terms.dictionary
+
+
+def term_counts(rows: DataFrame, dictionaries: Dictionaries, id_col: str, text_col: str, key_col: str | None = None) -> DataFrame:
+    """(term, docs, n): in how many documents and at how many positions of them each term stands, by the ``positions`` of the rows.
+
+    Words are counted where they are read, and only counts are shuffled. Documents of a term are counted in the task that reads them, as all hits
+    of a row are there. Rows that share an id are one document, so theirs are grouped by id; documents without an id count for n alone.
+    """
+    d = dictionaries
+    once, more = _once(rows, id_col)
+    words = all_words(id_col, text_col, key_col)
+    counted = written(once.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "word-counts")
+    special = written(special_words(counted.select("word"), d.rules, d.stems, d.stop), "special-words")
+
+    def by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def group(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            doc, term, names = _terms_of(table)
+            docs = np.bincount(np.unique(doc * len(names) + term) % len(names), minlength=len(names))
+            yield pa.RecordBatch.from_pydict({"term": names, "docs": docs.astype(np.int64), "n": np.zeros(len(names), np.int64)})
+
+        return _by_documents(batches, group)
+
+    if special.count() <= SPECIAL:
+        n = _termed(counted, special).select("term", F.lit(0).cast("long").alias("docs"), "n")
+        each = once.where(F.col(id_col).isNotNull()).select(F.monotonically_increasing_id().alias("row"), F.array_distinct(words).alias("words")).select("row", F.explode("words").alias("word"))
+        parts = [n, _termed(each, special).select("row", "term").mapInArrow(by_term, "term string, docs long, n long")]
+    else:
+        parts, more = [], rows
+    if more is not None:
+        by_doc = lexemes(positions(more, id_col, text_col, key_col), d.rules, d.stems, d.stop).groupBy("term", "id").agg(F.countDistinct("pos").alias("n"))
+        parts.append(by_doc.select("term", F.col("id").isNotNull().cast("long").alias("docs"), "n"))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part)
+    return both.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
 
 
 def write_index(rows: DataFrame, path: str, dictionaries: Dictionaries, id_col: str, text_col: str, key_col: str | None = None, buckets: int = 64) -> None:
     """Write postings (bucket, term, id, positions) under ``path``, a folder per bucket of terms, sorted by term and id.
 
-    A posting is a row, so a term of very many documents stays many rows in many row groups. Writers are balanced by
-    the size of the buckets, and a large bucket is split over several of them.
+    A posting is a row, so a term of very many documents stays many rows in many row groups. Postings are grouped in the task that reads
+    their document and shuffled once, packed by bucket; a bucket of very many documents is dealt over several tasks. Rows that share an id are
+    one document, so theirs are grouped by id and added.
     """
-    terms = lexemes(positions(rows, id_col, text_col, key_col), dictionaries.rules, dictionaries.stems, dictionaries.stop)
-    postings = terms.groupBy("term", "id").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
-    postings = postings.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", "bucket")
-    postings.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    d = dictionaries
+    once, more = _once(rows, id_col)
+    words = all_words(id_col, text_col, key_col)
+    vocabulary = written(once.select(F.explode(words).alias("word")).distinct(), "vocabulary")
+    special = written(special_words(vocabulary, d.rules, d.stems, d.stop), "special-words")
+    discard(vocabulary)
+    if special.count() > SPECIAL:
+        once, more = rows.limit(0), rows
+    kind = dict(rows.dtypes)[id_col]
+    salts = -(-once.count() // DOCUMENTS) or 1
+    hits = once.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words")).select("row", "id", F.posexplode("words").alias("pos", "word"))
+    packed = _termed(hits, special).select("row", "id", "pos", "term").mapInArrow(_packing(buckets), "bucket int, salt long, packed binary")
+    packed = packed.repartition(buckets * salts, "bucket", F.pmod(F.xxhash64("salt"), F.lit(salts))).select("packed")
+    postings = packed.mapInArrow(_unpacked, f"bucket int, term string, id {kind}, positions array<int>")
+    postings.sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(path, compression="zstd")
+    discard(special)
+    if more is not None:
+        terms = lexemes(positions(more, id_col, text_col, key_col), d.rules, d.stems, d.stop)
+        postings = terms.groupBy("term", "id").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
+        postings = postings.withColumn("bucket", bucket_of(F.col("term"), buckets)).hint("rebalance", "bucket")
+        postings.sortWithinPartitions("bucket", "term", "id").write.mode("append").partitionBy("bucket").parquet(path, compression="zstd")
+
+
+def _packing(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Hits (row, id, pos, term), documents in one stretch each and positions in order, to a few rows (bucket, salt, packed): postings as Parquet bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def group(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            doc, term, names = _terms_of(table)
+            bucket = np.array([zlib.crc32(t.encode()) % buckets for t in names.to_pylist()], np.int64)
+            order = np.lexsort((doc, term, bucket[term]))  # stable, so positions stay in order
+            doc, term = doc[order], term[order]
+            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])]))
+            at = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)), pa.int32()), table["pos"].combine_chunks().cast(pa.int32()).take(pa.array(order)))
+            rows = pa.table({"bucket": pa.array(bucket[term[new]], pa.int32()), "term": names.take(pa.array(term[new])), "id": table["id"].combine_chunks().take(pa.array(order[new])), "positions": at})
+            cuts = np.append(np.searchsorted(bucket[term[new]], np.arange(buckets)), len(new))
+            filled = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+            packed = []
+            for b in filled:
+                out = io.BytesIO()
+                pq.write_table(rows.slice(cuts[b], cuts[b + 1] - cuts[b]), out, compression="zstd", use_dictionary=["term", "bucket"], write_statistics=False, store_schema=False)
+                packed.append(out.getvalue())
+            salt = int(np.asarray(table["row"].chunk(0))[0])
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(filled, pa.int32()), "salt": pa.array([salt] * len(filled), pa.int64()), "packed": pa.array(packed, pa.binary())})
+
+        return _by_documents(batches, group)
+
+    return pack
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for packed in batch["packed"]:
+            yield from pq.read_table(io.BytesIO(packed.as_py())).to_batches(10_000)
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -57,8 +198,6 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 def read_postings(spark: SparkSession, path: str, terms: Sequence[str], buckets: int = 64) -> DataFrame:
     """Postings of these terms only: their buckets' folders, and in them the row groups that may hold them."""
-    import zlib
-
     some = sorted({zlib.crc32(t.encode()) % buckets for t in terms})
     return spark.read.parquet(path).where(F.col("bucket").isin(some) & F.col("term").isin(list(terms))).select("term", "id", "positions")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import fold
+from tessella.sources.tables import written
 
 RULES = "kind string, flag string, cross boolean, strip string, add string, condition string"
 
@@ -58,7 +59,7 @@ def _stripped(forms: DataFrame, rules: DataFrame, kind: str, longest: int, out:
         cut = cut.withColumn("add", F.left("form", F.col("k"))).withColumn("base", F.right("form", rest))
         stem, at = F.concat("strip", "base"), F.concat(F.lit("^(?:"), "condition", F.lit(")"))
     some = rules.where(F.col("kind") == kind).select("flag", "cross", "strip", "add", "condition")
-    met = cut.join(some, "add").withColumn(out, stem)
+    met = cut.join(F.broadcast(some), "add").withColumn(out, stem)  # the rules of an affix file
     return met.where((F.col("condition") == ".") | F.regexp_like(F.col(out), at)).drop("k", "add", "base", "strip", "condition", "form")
 
 
@@ -95,6 +96,16 @@ def lexemes(tokens: DataFrame, rules: DataFrame, stems: DataFrame, stop: DataFra
     return tokens.join(terms, F.lower(F.col(word)) == F.col("__word")).drop("__word", word)
 
 
+def special_words(vocabulary: DataFrame, rules: DataFrame, stems: DataFrame, stop: DataFrame) -> DataFrame:
+    """(word, terms): of the distinct words of ``vocabulary`` (word, lower case) those whose terms aren't just the word without its accents, see ``lexemes``; a word that goes has none."""
+    stopped = stop.select(F.col("word").alias("lemma"), F.lit(True).alias("stopped")).distinct()
+    found = lemmas(vocabulary, rules, stems).join(stopped, "lemma", "left")
+    known = written(found.groupBy("word").agg(F.array_sort(F.collect_set(F.when(F.col("stopped").isNull(), F.col("lemma")))).alias("terms")), "known-words")
+    others = vocabulary.where("isnotnull(word)").join(known.select("word"), "word", "left_anti").select("word", fold("word").alias("lemma"))
+    gone = others.join(stopped, "lemma", "left_semi").select("word", F.array().cast("array<string>").alias("terms"))
+    return known.unionByName(gone)
+
+
 def words_of(text: Column) -> Column:
     """Words of letters (with accents) and digits, in lower case, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"))

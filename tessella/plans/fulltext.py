@@ -45,10 +45,7 @@ postings AS MATERIALIZED (SELECT DISTINCT doc_id, pos, term FROM tokens JOIN ter
 @query("lexemes", f"WITH {_LEXEMES} SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS n FROM postings GROUP BY 1")
 def lexemes(spark, root):
     """Terms of all texts with accents and without, through affix rules, stems and the stop list."""
-    d = dictionaries(spark, root)
-    rows = X.positions(table(spark, root, "documents", "doc_id", "text"), "doc_id", "text")
-    by_doc = L.lexemes(rows, d.rules, d.stems, d.stop).groupBy("term", "id").agg(F.countDistinct("pos").alias("n"))
-    return by_doc.groupBy("term").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    return X.term_counts(table(spark, root, "documents", "doc_id", "text"), dictionaries(spark, root), "doc_id", "text")
 
 
 _SLOTS = [("that",), ("pour",), ("une",), ("with",), ("que",), ("por",), ("una",)]
